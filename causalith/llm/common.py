@@ -133,3 +133,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
         todo = todo[lengths[todo] > at]
     doc = np.searchsorted(offsets, starts, side="right") - 1
     return h, doc, starts, ends
+
+
+def slices(batches, column: str, limit: int = 4 << 20):
+    """Arrow batches cut so that a text column has about ``limit`` bytes in each; a longer text stands alone."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        group = np.cumsum(sizes) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name: module of this package that holds the function of that name.
 _MODULES = {
+    "op3_packing": "packing",
     "op6_sharding": "sharding",
 }
 
