@@ -9,6 +9,7 @@ _MODULES = {
     "op3_packing": "packing",
     "op5_near_dedup": "near_dedup",
     "op6_sharding": "sharding",
+    "op9_suffix_dedup": "repeats",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _MODULES.items()}
