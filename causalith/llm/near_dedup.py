@@ -26,7 +26,7 @@ from .sketch import REGISTERS, band_keys, fingerprints, likelihood_similarity, r
 #: Hub pairs estimated below this are not candidates. The estimate's deviation is about 0.04.
 LEAST_ESTIMATE = 0.45
 #: Documents of a cluster that meet in one block, and bytes of text that a task should get.
-BLOCK, TASK_BYTES = 1500, 8 << 20
+BLOCK, TASK_BYTES = 600, 4 << 20
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -127,7 +127,7 @@ def _confirmed(members: DataFrame, docs: DataFrame, width: int, percent: int) ->
     dealt = dealt.withColumn("with", other)
     pair = F.struct(F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     task = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("t"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("cluster").alias("t"), pair["i"].alias("i"), pair["j"].alias("j")))
-    rows = texts.join(dealt.select("node", "cluster", task.alias("task")), "node")
+    rows = texts.join(dealt.select("node", "cluster", task.alias("task")).hint("merge"), "node")
 
     def confirm(group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
