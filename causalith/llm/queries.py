@@ -10,6 +10,7 @@ _MODULES = {
     "op5_near_dedup": "near_dedup",
     "op6_sharding": "sharding",
     "op9_suffix_dedup": "repeats",
+    "op10_language_model": "language_model",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _MODULES.items()}
