@@ -103,11 +103,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def repeated_windows(data: np.ndarray, offsets: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context and place in it of every window that also starts elsewhere in these contexts.
-
-    ``m``: how many windows each context has; its bytes are ``LENGTH - 1`` more.
-    """
+def _parsed(data: np.ndarray, offsets: np.ndarray):
+    """Where the contexts' phrases begin, the context of each, and a hash that names it; and the hashes of all ranges."""
     hashes = RangeHash(data)
     cut = (hashes.grams & _PHRASE) == 0
     cut[offsets[:-1]] = True
@@ -117,28 +114,47 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, m: np.ndarray) -> tu
     points = np.flatnonzero(cut)
     owner = np.searchsorted(offsets, points, side="right") - 1
     ends = np.append(points[1:], len(data))
-    names = mix64(hashes(points, np.maximum(ends, points + 8)) ^ (ends - points).astype(np.uint64), 14)
-    _, names = np.unique(names, return_inverse=True)
+    return points, owner, mix64(hashes(points, np.maximum(ends, points + 8)) ^ (ends - points).astype(np.uint64), 14), hashes
+
+
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Context and place in it of every window that also starts elsewhere in these contexts.
+
+    ``m``: how many windows each context has; its bytes are ``LENGTH - 1`` more. Bytes are hashed ``piece`` at a time.
+    """
     k = len(offsets) - 1
+    group = offsets[:-1] // piece
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), k]
+    pieces = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    part = lambda a, b: (data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+    parsed = [_parsed(*part(a, b))[:3] for a, b in pieces]
+    owner = np.concatenate([o + a for (_, o, _), (a, _) in zip(parsed, pieces, strict=True)])
+    _, names = np.unique(np.concatenate([n for _, _, n in parsed]), return_inverse=True)
     # Each context's phrases, then an end mark of its own, all less than the phrases; the last mark is the least.
-    at = np.arange(len(points)) + owner
-    text = np.empty(len(points) + k, np.int64)
+    at = np.arange(len(owner)) + owner
+    text = np.empty(len(owner) + k, np.int64)
     text[at] = names + k
-    per = np.bincount(owner, minlength=k)
-    text[np.cumsum(per + 1) - 1] = k - 1 - np.arange(k)
+    text[np.cumsum(np.bincount(owner, minlength=k) + 1) - 1] = k - 1 - np.arange(k)
     longest = np.asarray(longest_repeats(text.tolist()))[at]
-    context = np.repeat(np.arange(k), m)
-    place = ragged(np.zeros(k, np.int64), m)
-    starts = offsets[context] + place
-    # The first content cut at or after a window's start, and the cuts whose 8 bytes the window holds whole.
-    q = np.searchsorted(points, starts, side="left")
-    q += (place == 0).astype(np.int64)
-    whole = np.searchsorted(points, starts + LENGTH - 8, side="right") - 1 - q
-    inside = (q < len(points)) & (whole > 0)
-    can = ~inside
-    can[inside] = longest[q[inside]] >= whole[inside]
-    starts, context, place = starts[can], context[can], place[can]
-    h = hashes(starts, starts + LENGTH)
+    found, before = [], 0
+    for (a, b), (points, _, _) in zip(pieces, parsed, strict=True):
+        run = longest[before : before + len(points)]
+        before += len(points)
+        raw, bounds = part(a, b)
+        context, place = np.repeat(np.arange(b - a), m[a:b]), ragged(np.zeros(b - a, np.int64), m[a:b])
+        starts = bounds[context] + place
+        # The first content cut at or after a window's start, and the cuts whose 8 bytes the window holds whole.
+        q = np.searchsorted(points, starts, side="left") + (place == 0)
+        whole = np.searchsorted(points, starts + LENGTH - 8, side="right") - 1 - q
+        inside = (q < len(points)) & (whole > 0)
+        can = ~inside
+        can[inside] = run[q[inside]] >= whole[inside]
+        starts = starts[can]
+        if len(starts):
+            found.append((RangeHash(raw)(starts, starts + LENGTH), (context[can] + a).astype(np.int32), place[can].astype(np.int32)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, context, place = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(h, kind="stable")
     s = h[order]
     same = np.zeros(len(s), bool)
