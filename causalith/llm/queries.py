@@ -11,6 +11,7 @@ _MODULES = {
     "op4_quality": "quality",
     "op5_near_dedup": "near_dedup",
     "op6_sharding": "sharding",
+    "op7_decontamination": "decontamination",
     "op9_suffix_dedup": "repeats",
     "op10_language_model": "language_model",
 }
