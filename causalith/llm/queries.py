@@ -12,6 +12,7 @@ _MODULES = {
     "op5_near_dedup": "near_dedup",
     "op6_sharding": "sharding",
     "op7_decontamination": "decontamination",
+    "op8_main_text": "html_text",
     "op9_suffix_dedup": "repeats",
     "op10_language_model": "language_model",
 }

@@ -83,14 +83,17 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def longest_repeats(text: list[int]) -> list[int]:
-    """For each suffix how many of its first symbols also start another suffix, at most."""
+def longest_repeats(text: list[int], owner: list[int] | None = None) -> list[int]:
+    """For each suffix how many of its first symbols also start another suffix, at most.
+
+    With ``owner``, the other suffix must start at a place with another owner.
+    """
     n = len(text)
     order = suffix_array(text)
     rank = [0] * n
     for i, s in enumerate(order):
         rank[s] = i
-    longest = [0] * n
+    common = [0] * n  # of each suffix with the one before it in the order
     k = 0
     for s in range(n):
         r = rank[s]
@@ -100,10 +103,17 @@ def longest_repeats(text: list[int]) -> list[int]:
         other = order[r - 1]
         while text[s + k] == text[other + k]:
             k += 1
-        if k > longest[s]:
-            longest[s] = k
-        if k > longest[other]:
-            longest[other] = k
+        common[r] = k
         if k:
             k -= 1
+    longest = [0] * n
+    for ranks, step in ((range(1, n), 1), (range(n - 2, -1, -1), -1)):
+        best = 0
+        for r in ranks:
+            shared = common[r] if step > 0 else common[r + 1]
+            if owner is None or owner[order[r]] != owner[order[r - step]] or shared < best:
+                best = shared
+            s = order[r]
+            if best > longest[s]:
+                longest[s] = best
     return longest
