@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name: module of this package that holds the function of that name.
 _MODULES = {
     "op1_media": "media",
+    "op2_url_filter": "url_filter",
     "op3_packing": "packing",
     "op4_quality": "quality",
     "op5_near_dedup": "near_dedup",
