@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, slices, table, text_buffer
 from .components import components
-from .sketch import REGISTERS, band_keys, fingerprints, likelihood_similarity, registers, shingle_sets
+from .sketch import BAND, band_keys, bands_for, fingerprints, likelihood_similarity, registers, shingle_sets
 
 #: Hub pairs estimated below this are not candidates. The estimate's deviation is about 0.04.
 LEAST_ESTIMATE = 0.45
@@ -29,7 +29,7 @@ LEAST_ESTIMATE = 0.45
 BLOCK, TASK_BYTES = 600, 4 << 20
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
+def sketches(docs: DataFrame, width: int, m: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, the set's fingerprint ``f0``, ``f1``, and its registers (null for an empty set)."""
 
     def sketch(batches):
@@ -38,31 +38,31 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             sets, bounds = shingle_sets(data, offsets, width)
             n = np.diff(bounds)
             prints = fingerprints(sets, bounds).view(np.int64)
-            rows = registers(sets, bounds)
+            rows = registers(sets, bounds, m)
             raw = [r.tobytes() if k else None for r, k in zip(rows, n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(raw, pa.binary())], ["doc_id", "n_shingles", "f0", "f1", "registers"])
 
     return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, f0 long, f1 long, registers binary")
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
+def _bands(nodes: DataFrame, m: int) -> DataFrame:
     def keys(batches):
         for batch in batches:
             raw, _ = text_buffer(batch.column("registers"))
-            k = band_keys(raw.view(np.uint16).reshape(-1, REGISTERS)).view(np.int64)
+            k = band_keys(raw.view(np.uint16).reshape(-1, m)).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * k.shape[1]), pa.array(k.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "keys"])
 
     return nodes.select("node", "registers").mapInArrow(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, nodes: DataFrame, m: int) -> DataFrame:
     def side(end):
         return nodes.select(F.col("node").alias(end), F.col("registers").alias(f"r{end}"), F.col("n_shingles").alias(f"n{end}"))
 
     def estimate(batches):
         for batch in batches:
-            ra, rb = (text_buffer(batch.column(c))[0].view(np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+            ra, rb = (text_buffer(batch.column(c))[0].view(np.uint16).reshape(-1, m) for c in ("ra", "rb"))
             na, nb = (np.asarray(batch.column(c), np.float64) for c in ("na", "nb"))
             keep = likelihood_similarity(ra, rb, na, nb) >= LEAST_ESTIMATE if batch.num_rows else np.zeros(0, bool)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -148,15 +148,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links. Rows that share a doc_id are one document; a row without doc_id stays alone with a null component and is
     kept. Other columns are left aside. No rows give no rows.
     """
-    drawn = materialize(sketches(docs, width), "sketches")
+    m = BAND * bands_for(percent)
+    drawn = materialize(sketches(docs, width, m), "sketches")
     some = drawn.filter("n_shingles > 0 and doc_id is not null")
     # Written out, so that the join below deals both sides anew and can split a hot set.
     reps = materialize(some.groupBy("n_shingles", "f0", "f1").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers")), "sets")
-    bands = materialize(_bands(reps), "bands")
+    bands = materialize(_bands(reps, m), "bands")
     order = F.xxhash64("node", "key")
     hubs = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", order).alias("hub")).filter("n > 1").select("key", "hub"), "hubs")
     pairs = bands.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    weak = components(_estimated(materialize(pairs, "pairs"), reps.select("node", "registers", "n_shingles")))
+    weak = components(_estimated(materialize(pairs, "pairs"), reps.select("node", "registers", "n_shingles"), m))
     sizes = materialize(weak.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "sizes")
     members = weak.join(sizes, "label").select("node", F.col("label").alias("cluster"), "n").join(reps.select("node", (F.col("n_shingles") * 8).alias("bytes")), "node")
     classes = components(_confirmed(materialize(members, "members"), docs, width, percent))

@@ -206,7 +206,8 @@ _NO_ID = -(1 << 63)
 def _keyed(docs: DataFrame) -> DataFrame:
     """A row's identity is its doc_id and its text, so rows that share one of them stay apart."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")), F.lit(True).alias("_"))
+    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"), rest.alias("rest"))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -262,14 +263,14 @@ def _merged(spans: list) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``kept`` (the bytes that remain), ``spans`` (removed runs) and ``n_bytes`` of every row.
+    """``doc_id``, ``kept`` (the bytes that remain), ``spans`` (removed runs), ``n_bytes`` and ``rest`` (the other columns) of every row.
 
     A byte goes if it lies in a string of ``LENGTH`` bytes that also starts anywhere else in the table, in the same text or
     in another row, which may be a copy of this one. Null texts are empty; texts shorter than ``LENGTH`` stay as they
     are; a null doc_id stays null. The remaining bytes need not be valid UTF-8, since a run may start inside a character.
     """
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed).groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(keyed.select("doc_id", "t", "text")).groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def keep(batches):
         for batch in slices(batches, "text"):
@@ -284,12 +285,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     at = b
                 kept.append(b"".join([*parts, raw[at:]]))
                 runs.append([{"a": a, "b": b} for a, b in merged])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct({"a": pa.int32(), "b": pa.int32()})))], ["doc_id", "n_bytes", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct({"a": pa.int32(), "b": pa.int32()}))), batch.column("rest")], ["doc_id", "n_bytes", "kept", "spans", "rest"])
 
-    out = keyed.join(spans.hint("merge"), ["doc_id", "t"], "left").select("doc_id", "text", "spans").mapInArrow(keep, "doc_id long, n_bytes long, kept binary, spans array<struct<a: int, b: int>>")
+    out = keyed.join(spans.hint("merge"), ["doc_id", "t"], "left").select("doc_id", "text", "spans", "rest").mapInArrow(keep, f"doc_id long, n_bytes long, kept binary, spans array<struct<a: int, b: int>>, rest {keyed.schema['rest'].dataType.simpleString()}")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents"))
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

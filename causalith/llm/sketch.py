@@ -13,9 +13,13 @@ from .common import mix64, word_hashes
 
 #: Parameters that SetSketch's authors recommend for two-byte registers.
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
-#: Registers in a band, and bands; at similarity 0.85 a pair shares no band with a probability below 1e-6.
-BAND, BANDS = 5, 24
-REGISTERS = BAND * BANDS
+#: Registers in a band, and the probability with which a pair at the threshold may share no band.
+BAND, MISS = 5, 1e-6
+
+
+def bands_for(percent: int) -> int:
+    """Bands that pairs of a similarity of ``percent`` miss with a probability of at most ``MISS``."""
+    return int(np.ceil(np.log(MISS) / np.log1p(-((min(percent, 99) / 100) ** BAND))))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +49,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple
     return s[fresh], np.concatenate([[0], np.cumsum(counts)])
 
 
-def registers(sets: np.ndarray, offsets: np.ndarray, m: int = REGISTERS) -> np.ndarray:
+def registers(sets: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
     """Two-byte SetSketch registers of each set, one row per set; those of an empty set are 0."""
     full = np.flatnonzero(np.diff(offsets) > 0)
     out = np.zeros((len(offsets) - 1, m), np.uint16)
@@ -68,9 +72,9 @@ def registers(sets: np.ndarray, offsets: np.ndarray, m: int = REGISTERS) -> np.n
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of registers, one row per set."""
-    n = len(regs)
-    bands = regs.reshape(n, BANDS, BAND).astype(np.uint64)
-    key = np.broadcast_to(mix64(np.arange(BANDS, dtype=np.uint64), 6), (n, BANDS)).copy()
+    n, count = len(regs), regs.shape[1] // BAND
+    bands = regs.reshape(n, count, BAND).astype(np.uint64)
+    key = np.broadcast_to(mix64(np.arange(count, dtype=np.uint64), 6), (n, count)).copy()
     for k in range(BAND):
         key = mix64(key ^ bands[:, :, k], 7)
     return key
