@@ -10,6 +10,8 @@ from .config import Config
 
 #: Operators by module of ``operators``.
 _MODULES = {
+    "diagnostics": ["do_balance", "do_overlap", "do_diagnose", "do_refute", "do_sensitivity", "do_frame_summary"],
+    "graph": ["do_graph_create", "do_graph_drop", "do_graphs", "do_identify", "do_validate"],
     "effects": ["do_ate", "do_att", "do_atc", "do_cate", "do_ate_by", "do_ate_pool"],
 }
 
