@@ -12,6 +12,11 @@ from .config import Config
 _MODULES = {
     "diagnostics": ["do_balance", "do_overlap", "do_diagnose", "do_refute", "do_sensitivity", "do_frame_summary"],
     "graph": ["do_graph_create", "do_graph_drop", "do_graphs", "do_identify", "do_validate"],
+    "treatments": ["do_ape", "do_dose_response", "do_ate_levels"],
+    "identification": ["do_iv", "do_frontdoor", "do_mediate"],
+    "policy": ["do_counterfactual", "do_predict", "do_policy_value", "do_uplift", "do_optimal_policy"],
+    "survival": ["do_rmst", "do_rmtl"],
+    "panel": ["do_did", "do_event_study", "do_synth", "do_synth_path"],
     "effects": ["do_ate", "do_att", "do_atc", "do_cate", "do_ate_by", "do_ate_pool"],
 }
 
@@ -23,7 +28,9 @@ class Engine:
         self.spark, self.config = spark, config or Config.of(spark)
 
     def table(self, rows: list, schema: str) -> DataFrame:
-        return self.spark.createDataFrame(rows, schema)
+        """A small result; numpy's numbers become plain ones."""
+        plain = [tuple(v.item() if hasattr(v, "item") else v for v in row) for row in rows]
+        return self.spark.createDataFrame(plain, schema)
 
     def sql(self, text: str) -> DataFrame:
         from .plans.sql import run

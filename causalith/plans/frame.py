@@ -91,6 +91,9 @@ class Frame:
     warnings: list[str]
     folds: int
 
+    def __getstate__(self):
+        return self.__dict__ | {"rows": None}  # tasks get what the frame says, not the frame's rows
+
     @property
     def width(self) -> int:
         return len(self.features)
@@ -331,7 +334,7 @@ def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
     for p, n in counts:
         rows.append((p, before))
         before += n
-    starts = df.sparkSession.createDataFrame(rows, "_p long, _start long")
-    return ordered.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.expr("_m & ((1L << 33) - 1)")).drop("_p", "_start", "_m")
+    starts = df.sparkSession.createDataFrame(rows, "_part long, _before long")
+    return ordered.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.expr("_m & ((1L << 33) - 1)")).drop("_part", "_before", "_m")
 
 
