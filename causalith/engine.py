@@ -17,6 +17,8 @@ _MODULES = {
     "policy": ["do_counterfactual", "do_predict", "do_policy_value", "do_uplift", "do_optimal_policy"],
     "survival": ["do_rmst", "do_rmtl"],
     "panel": ["do_did", "do_event_study", "do_synth", "do_synth_path"],
+    "longitudinal": ["do_msm", "do_msm_rmst"],
+    "models": ["do_list_models", "do_models", "do_devices", "do_download"],
     "effects": ["do_ate", "do_att", "do_atc", "do_cate", "do_ate_by", "do_ate_pool"],
 }
 
