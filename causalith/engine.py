@@ -19,6 +19,7 @@ _MODULES = {
     "panel": ["do_did", "do_event_study", "do_synth", "do_synth_path"],
     "longitudinal": ["do_msm", "do_msm_rmst"],
     "models": ["do_list_models", "do_models", "do_devices", "do_download"],
+    "discovery": ["do_discover", "do_discover_dot"],
     "effects": ["do_ate", "do_att", "do_atc", "do_cate", "do_ate_by", "do_ate_pool"],
 }
 

@@ -63,19 +63,20 @@ class SparkRows:
         return out
 
     def append(self, f, names: list[str]) -> SparkRows:
-        """With further columns of numbers, which ``f`` gives in a list for each block."""
+        """With further columns of numbers (in place of any of their names), which ``f`` gives in a list for each block."""
         width = self.width
-        kept = self.df.drop(*names)
+        kept = [c for c in self.df.columns if c not in names]
 
         def add(batches):
             for batch in batches:
                 values = f(_columns(batch, width)) if batch.num_rows else [np.zeros(0)] * len(names)
+                batch = batch.select(kept)
                 for name, v in zip(names, values, strict=True):
                     batch = batch.append_column(name, pa.array(np.asarray(v, float)))
                 yield batch
 
-        schema = T.StructType([*kept.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
-        return SparkRows(kept.mapInArrow(add, schema), width)
+        schema = T.StructType([*(self.df.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)])
+        return SparkRows(self.df.mapInArrow(add, schema), width)
 
     def filter(self, condition, _local=None) -> SparkRows:
         return SparkRows(self.df.filter(condition), self.width)
