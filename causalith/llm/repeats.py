@@ -294,3 +294,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = {
+    "op9_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select doc_id, i, md5(substr(x, 2 * i + 1, 800)) as h from d, unnest(range(0, greatest(length(x) // 2 - 399, 0))) as r(i)),
+again as (select h from w group by h having count(*) > 1),
+hit as (select doc_id, i, i - coalesce(lag(i) over (partition by doc_id order by i), -1000) > 400 as fresh from w where h in (select h from again)),
+run as (select doc_id, i, sum(fresh::int) over (partition by doc_id order by i) as k from hit),
+span as (select doc_id, min(i) as a, max(i) + 400 as b from run group by doc_id, k),
+gap as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from span),
+kept as (select doc_id, count(*) as n, sum(b - a) as gone, max(b) as last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) as k from gap join d using (doc_id) group by doc_id)
+select doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans,
+ sha256(unhex(case when n is null then x else k || substr(x, 2 * last + 1) end)) as kept_sha256
+from d left join kept using (doc_id)
+""",
+}
