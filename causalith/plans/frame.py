@@ -315,11 +315,11 @@ def build(engine, relation, spec: Spec, mode: str = "binary", outcome: bool = Tr
     folds = min(spec.folds, max(2, n // 4))
     aliases = [a.alias(f"x{j}") for j, a in enumerate(exprs)]
     carried = [c for c in raw.columns if c not in value.values()]
-    made = raw.select(*carried, *aliases)
-    # A row's draws are hashes of its content and the seed: they do not depend on its place or partition.
-    content = ["_cluster"] if spec.cluster else [c for c in carried if c != "_id"] + [f"x{j}" for j in range(len(features))]
-    key = F.xxhash64(*content)
-    made = made.withColumn("_key", key).withColumn("_fold", F.pmod(F.xxhash64(F.lit(spec.seed), F.lit("fold"), "_key"), F.lit(folds)).cast("double"))
+    # A row's draws are hashes of its content and the seed: they do not depend on its place or partition. The content is
+    # that of the relation, since means and deviations depend on the order of sums in their last digits.
+    key = F.xxhash64(*(["_cluster"] if spec.cluster else [c for c in raw.columns if c != "_id"]))
+    made = raw.select(*carried, *aliases, key.alias("_key"))
+    made = made.withColumn("_fold", F.pmod(F.xxhash64(F.lit(spec.seed), F.lit("fold"), "_key"), F.lit(folds)).cast("double"))
     return Frame(SparkRows(made, len(features)).keep(), spec, features, n, n_treated, n_missing, binary, treated, control, levels, clusters, warnings, folds)
 
 
