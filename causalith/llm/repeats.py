@@ -232,7 +232,7 @@ def _cut_out(batches):
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Runs of windows that occur again: ``doc_id``, ``t``, ``a``, ``b`` (bytes a up to before b), for keyed documents."""
+    """Runs of windows that occur again: ``doc_id``, ``t`` and, for each context, ``spans`` (bytes a up to before b), for keyed documents."""
     found = materialize(_occurrences(docs), "contexts")
     classes = materialize(found.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"), "classes")
     found = materialize(found.join(classes, "k"), "occurrences")
@@ -248,8 +248,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     twice = single.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w")
     settled = settled.unionByName(single.join(twice, "w").select("k", "h", "first", F.col("first").alias("last")))
     copied = distinct.filter("n > 1").select("k", "h", F.lit(0).alias("first"), (F.col("m") - 1).cast("int").alias("last"))
-    runs = materialize(copied.unionByName(settled), "runs")
-    return found.join(runs, ["k", "h"]).select("doc_id", "t", (F.col("s") + F.col("first")).alias("a"), (F.col("s") + F.col("last") + LENGTH).alias("b"))
+    # A context with copies is covered whole; the others have all their runs in one row, so an occurrence stays one row.
+    alone = settled.join(distinct.filter("n > 1").select("k", "h"), ["k", "h"], "left_anti")
+    runs = copied.unionByName(alone).groupBy("k", "h").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    spans = F.transform("runs", lambda r: F.struct((F.col("s") + r["first"]).alias("a"), (F.col("s") + r["last"] + LENGTH).alias("b")))
+    return found.join(materialize(runs, "runs"), ["k", "h"]).select("doc_id", "t", spans.alias("spans"))
 
 
 def _merged(spans: list) -> list[tuple[int, int]]:
@@ -270,7 +273,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     are; a null doc_id stays null. The remaining bytes need not be valid UTF-8, since a run may start inside a character.
     """
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed.select("doc_id", "t", "text")).groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(keyed.select("doc_id", "t", "text")).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def keep(batches):
         for batch in slices(batches, "text"):
