@@ -3,8 +3,10 @@
 Test items become word sequences (ASCII letters lowered, ASCII punctuation as blanks), and every run of ``SEED`` words is a
 seed. One pass over the documents finds all seeds by hash, counts the documents that each occurs in, and keeps the places
 where several seeds of one item lie near one diagonal, as an edited copy's would. Seeds are rare if they are in no more
-than four times as many documents as their item's median seed: function words are not, but those of an item that leaked
-often still are. Places with enough rare seeds are aligned with the item by Smith-Waterman over words.
+than four times as many documents as the median of their item's seeds that occur at all: function words are not, but
+those of an item that leaked often still are. Places with enough rare seeds are aligned with the item by Smith-Waterman
+over words. So are the others (a passage may be common where the rest of its item is not), unless they share too few
+words with the item for any alignment to reach the score.
 
 Test items come to the tasks in blocks of a fixed number of seeds, one block after the other, so their table may be of
 any size; documents are never collected.
@@ -75,11 +77,11 @@ class Items:
         return at[hit], which[hit]
 
     def rare(self, frequency: np.ndarray) -> np.ndarray:
-        """Whether each entry of the index is rare for its item, from the seeds' document counts."""
+        """Whether each entry of the index is rare for its item, from the seeds' document counts; seeds in no document do not count."""
         f = frequency[self.seed]
         order = np.lexsort((f, self.item))
-        n = np.bincount(self.item, minlength=len(self.ids))
-        ends = np.cumsum(n)
+        ends = np.cumsum(np.bincount(self.item, minlength=len(self.ids)))
+        n = np.bincount(self.item[f > 0], minlength=len(self.ids))
         median = np.zeros(len(self.ids))
         some = n > 0
         median[some] = f[order][(ends - n + (n - 1) // 2)[some]]
@@ -155,6 +157,18 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, row, column
 
 
+def batched(a: list[np.ndarray], b: list[np.ndarray], cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``align`` on pairs of like length together, about ``cells`` words at once."""
+    best, row, column = np.zeros(len(a), np.int32), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    size = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    order, at = np.argsort(size, kind="stable")[::-1], 0
+    while at < len(order):
+        some = order[at : at + max(1, cells // max(1, int(size[order[at]])))]
+        best[some], row[some], column[some] = align([a[k] for k in some], [b[k] for k in some])
+        at += len(some)
+    return best, row, column
+
+
 _ROW = "doc_id long, item int, entries array<int>, first long, text string, seed int, documents long"
 
 
@@ -215,7 +229,7 @@ def _block(docs: DataFrame, items: Items, share: float, enough: int) -> DataFram
     def check(batches):
         items, is_rare = shared.value, rare.value
         for batch in batches:
-            rows = [r for r in batch.to_pylist() if is_rare[r["entries"]].sum() >= items.need[r["item"]]]
+            rows = batch.to_pylist()
             if not rows:
                 continue
             data, offsets = text_buffer(pa.array([r["text"] for r in rows], pa.large_string()))
@@ -224,11 +238,17 @@ def _block(docs: DataFrame, items: Items, share: float, enough: int) -> DataFram
             item = np.array([r["item"] for r in rows])
             a = [items.words[items.start[i] : items.start[i] + items.count[i]] for i in item]
             b = [h[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
-            best, row, column = align(a, b)
-            # The same alignment from its end gives its beginning.
-            _, _, back = align([x[:r][::-1] for x, r in zip(a, row, strict=True)], [y[:c][::-1] for y, c in zip(b, column, strict=True)])
             n = items.count[item]
-            keep = np.flatnonzero(best >= np.minimum(share * n, enough))
+            least = np.minimum(share * n, enough)
+            # A score is at most the number of words that can match.
+            can = np.array([is_rare[r["entries"]].sum() >= items.need[r["item"]] or np.isin(y, x).sum() >= low for r, x, y, low in zip(rows, a, b, least, strict=True)])
+            at = np.flatnonzero(can)
+            best, row, column = np.full(len(rows), -1, np.int32), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            best[at], row[at], column[at] = batched([a[k] for k in at], [b[k] for k in at])
+            keep = np.flatnonzero(can & (best >= least))
+            # The same alignment from its end gives its beginning.
+            back = np.zeros(len(rows), np.int64)
+            _, _, back[keep] = batched([a[k][: row[k]][::-1] for k in keep], [b[k][: column[k]][::-1] for k in keep])
             base = np.array([r["first"] for r in rows], np.int64) - offsets[:-1]
             first = starts[(bounds[:-1] + column - np.maximum(back, 1))[keep]] + base[keep]
             last = ends[(bounds[:-1] + column - 1)[keep]] + base[keep]

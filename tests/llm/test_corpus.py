@@ -187,6 +187,20 @@ def test_decontamination(spark, none):
     assert contaminated(none, benchmark).count() == 0 and contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_parts(spark):
+    rng = np.random.default_rng(11)
+    items = [[f"c{i}x{rng.integers(10**6)}" for _ in range(n)] for i, n in enumerate((40, 60, 60))]
+    fifth = [w if k % 5 else f"new{k}" for k, w in enumerate(items[0])]
+    parts = [" ".join(fifth), " ".join(items[1][20:35]), " ".join(items[2])]
+    # A fragment in a thousand documents, whose item is in one of them whole.
+    parts += [" ".join(items[2][10:25])] * 1000
+    docs = spark.createDataFrame([(i, f"{prose(rng, 20)} {t} {prose(rng, 20)}", "en", "s", None, 0.5, 3, 9) for i, t in enumerate(parts)], SCHEMA)
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): round(r["score"] * len(items[r["item_id"]])) for r in contaminated(docs, benchmark).collect()}
+    # Eight words of 40 are replaced, the first one at the edge: 32 matches less 7.
+    assert found == {(0, 0): 25, (1, 1): 15, (2, 2): 60} | {(i, 2): 15 for i in range(3, 1003)}
+
+
 def test_main_text(spark):
     page = "<html><head><title>T</title><script>x<y</script></head><body><nav><ul><li>Home</li></ul></nav>{}<footer>foot</footer></body></html>"
     article = page.format("<article><h1>A &amp; B</h1><p>one\n two <b>three</b></p><div class='comments'>bad</div><p>caf&eacute;</p></article><div>side</div>")
