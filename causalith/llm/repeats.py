@@ -1,9 +1,9 @@
-"""Removal of long byte strings that occur more than once in a corpus.
+"""Removal of long strings of bytes, or of words, that occur more than once in a corpus.
 
-A window is a string of ``LENGTH`` bytes. A window's anchor is the least hash of 8 bytes among its first ``REACH`` places, so
-equal windows have their anchors at equal places. Neighbouring windows with the same anchor form a context: the bytes
-that they cover. Equal windows lie in contexts of the same class, which is the hash of the ``CORE`` bytes that follow
-the anchor; classes with one occurrence hold no repeats and go.
+A window is a string of ``length`` units: bytes, or words, which are hashes then. A window's anchor is the least hash of 8
+bytes or one word among its first ``reach`` places, so equal windows have their anchors at equal places. Neighbouring
+windows with the same anchor form a context: the units that they cover. Equal windows lie in contexts of the same class,
+which is the hash of the ``core`` units that follow the anchor; classes with one occurrence hold no repeats and go.
 
 Equal contexts are one from here on, however many there are, and those with copies are repeats as a whole. The rest is
 settled class by class in bounded tasks: contexts become sequences of content-cut phrases, the suffix array of all
@@ -14,19 +14,51 @@ context go to all its occurrences, and each document drops the bytes they cover.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, ragged, slices, table, text_buffer
+from .common import materialize, mix64, ragged, slices, table, text_buffer, word_hashes
 from .suffix_array import longest_repeats
 
-LENGTH, REACH, CORE = 400, 200, 200
+
+@dataclass(frozen=True)
+class Window:
+    """``length`` bytes, or words as ``word_hashes`` has them."""
+
+    length: int
+    words: bool = False
+
+    @property
+    def reach(self) -> int:
+        return self.length // 2
+
+    @property
+    def core(self) -> int:
+        return self.length - self.reach
+
+    def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The units of texts and the offsets of each text's."""
+        data, offsets = text_buffer(texts)
+        if not self.words:
+            return data, offsets
+        h, doc, _, _ = word_hashes(data, offsets, lower=False)
+        return h, np.searchsorted(doc, np.arange(len(offsets)))
+
+    def stored(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The units of binary values that were made from units."""
+        data, offsets = text_buffer(column)
+        return (np.ascontiguousarray(data).view("<u8"), offsets // 8) if self.words else (data, offsets)
+
+
+BYTES = Window(400)
 #: Contexts that a task should get, and contexts of one class from which its windows are counted one by one instead.
 TASK_CONTEXTS, CLASS_CONTEXTS = 3000, 20_000
-#: A phrase ends before about one in so many bytes.
-_PHRASE = np.uint64(63)
+#: A phrase ends before about one in so many bytes, or words.
+_PHRASE, _WORD_PHRASE = np.uint64(63), np.uint64(7)
 #: Bits of a packed value that hold a place; a longer buffer is taken in parts.
 _PLACE = np.uint64(24)
 _PART = 8 << 20
@@ -48,45 +80,47 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 class RangeHash:
-    """Hashes of any ranges of at least 8 bytes: equal bytes, equal values, in every buffer."""
+    """Hashes of any ranges of at least ``gram`` units, 8 bytes or a word: equal units, equal values, in every buffer."""
 
     def __init__(self, data: np.ndarray):
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        grams = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))
-        self.grams = mix64(np.ascontiguousarray(grams).view("<u8").ravel(), 11)
+        self.gram = 8 if data.dtype == np.uint8 else 1
+        if self.gram == 8:
+            padded = np.concatenate([data, np.zeros(8, np.uint8)])
+            data = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))).view("<u8").ravel()
+        self.grams = mix64(data, 11)
         with np.errstate(over="ignore"):
             sums = np.cumsum(self.grams * _power(_POWER, len(data)), dtype=np.uint64)
         self.sums = np.concatenate([np.zeros(1, np.uint64), sums])
 
     def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Of bytes ``first`` up to before ``last``."""
+        """Of units ``first`` up to before ``last``."""
         with np.errstate(over="ignore"):
-            x = (self.sums[last - 7] - self.sums[first]) * _power(_INVERSE, len(self.sums))[first]
+            x = (self.sums[last - self.gram + 1] - self.sums[first]) * _power(_INVERSE, len(self.sums))[first]
         return mix64(x ^ (last - first).astype(np.uint64), 12)
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray):
-    """Class, hash, text, first byte (in its text) and number of windows of all contexts."""
-    parts = []
-    if len(data) > _PART + LENGTH:
+def contexts(data: np.ndarray, offsets: np.ndarray, window: Window):
+    """Class, hash, text, first unit (in its text) and number of windows of all contexts."""
+    length, reach, parts = window.length, window.reach, []
+    if len(data) > _PART + length:
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            for x in range(0, max(1, b - a - LENGTH + 1), _PART):
-                parts.append((data[a + x : min(b, a + x + _PART + LENGTH - 1)], None, i, x))
+            for x in range(0, max(1, b - a - length + 1), _PART):
+                parts.append((data[a + x : min(b, a + x + _PART + length - 1)], None, i, x))
     else:
         parts.append((data, offsets, 0, 0))
     out = []
     for piece, bounds, text, base in parts:
-        if len(piece) < LENGTH:
+        if len(piece) < length:
             continue
         bounds = np.array([0, len(piece)]) if bounds is None else bounds
         hashes = RangeHash(piece)
         least = (hashes.grams >> _PLACE << _PLACE) | np.arange(len(piece), dtype=np.uint64)
         width = 1
-        while width < REACH:
-            step = min(width, REACH - width)
+        while width < reach:
+            step = min(width, reach - width)
             least = np.minimum(least[: len(least) - step], least[step:])
             width += step
-        count = np.maximum(np.diff(bounds) - LENGTH + 1, 0)
+        count = np.maximum(np.diff(bounds) - length + 1, 0)
         starts = ragged(bounds[:-1], count)
         if not len(starts):
             continue
@@ -95,8 +129,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray):
         first, b = starts[new], anchor[new]
         m = np.diff(np.append(new, len(starts)))
         owner = np.searchsorted(bounds, first, side="right") - 1
-        h = mix64(hashes(first, first + m - 1 + LENGTH) ^ m.astype(np.uint64), 13)
-        out.append((hashes(b, b + CORE), h, owner + text, first - bounds[owner] + base, m))
+        h = mix64(hashes(first, first + m - 1 + length) ^ m.astype(np.uint64), 13)
+        out.append((hashes(b, b + window.core), h, owner + text, first - bounds[owner] + base, m))
     if not out:
         z = np.zeros(0, np.int64)
         return z.view(np.uint64), z.view(np.uint64), z, z, z
@@ -106,22 +140,23 @@ def contexts(data: np.ndarray, offsets: np.ndarray):
 def _parsed(data: np.ndarray, offsets: np.ndarray):
     """Where the contexts' phrases begin, the context of each, and a hash that names it; and the hashes of all ranges."""
     hashes = RangeHash(data)
-    cut = (hashes.grams & _PHRASE) == 0
+    cut = (hashes.grams & (_PHRASE if hashes.gram == 8 else _WORD_PHRASE)) == 0
     cut[offsets[:-1]] = True
     # A cut in a context's last bytes would rest on bytes of the next one.
-    tail = (offsets[1:, None] - np.arange(1, 8)).ravel()
+    tail = (offsets[1:, None] - np.arange(1, hashes.gram)).ravel()
     cut[tail[tail >= 0]] = False
     points = np.flatnonzero(cut)
     owner = np.searchsorted(offsets, points, side="right") - 1
     ends = np.append(points[1:], len(data))
-    return points, owner, mix64(hashes(points, np.maximum(ends, points + 8)) ^ (ends - points).astype(np.uint64), 14), hashes
+    return points, owner, mix64(hashes(points, np.maximum(ends, points + hashes.gram)) ^ (ends - points).astype(np.uint64), 14), hashes
 
 
-def repeated_windows(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, window: Window = BYTES, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Context and place in it of every window that also starts elsewhere in these contexts.
 
-    ``m``: how many windows each context has; its bytes are ``LENGTH - 1`` more. Bytes are hashed ``piece`` at a time.
+    ``m``: how many windows each context has; its units are ``length - 1`` more. Units are hashed ``piece`` at a time.
     """
+    length, gram = window.length, 1 if window.words else 8
     k = len(offsets) - 1
     group = offsets[:-1] // piece
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), k]
@@ -143,15 +178,15 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, piece
         raw, bounds = part(a, b)
         context, place = np.repeat(np.arange(b - a), m[a:b]), ragged(np.zeros(b - a, np.int64), m[a:b])
         starts = bounds[context] + place
-        # The first content cut at or after a window's start, and the cuts whose 8 bytes the window holds whole.
+        # The first content cut at or after a window's start, and the cuts whose 8 bytes (or word) the window holds whole.
         q = np.searchsorted(points, starts, side="left") + (place == 0)
-        whole = np.searchsorted(points, starts + LENGTH - 8, side="right") - 1 - q
+        whole = np.searchsorted(points, starts + length - gram, side="right") - 1 - q
         inside = (q < len(points)) & (whole > 0)
         can = ~inside
         can[inside] = run[q[inside]] >= whole[inside]
         starts = starts[can]
         if len(starts):
-            found.append((RangeHash(raw)(starts, starts + LENGTH), (context[can] + a).astype(np.int32), place[can].astype(np.int32)))
+            found.append((RangeHash(raw)(starts, starts + length), (context[can] + a).astype(np.int32), place[can].astype(np.int32)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, context, place = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -181,22 +216,28 @@ def _run_table(k, h, context, place) -> pa.Table:
     return pa.table({"k": pa.array(k[c]), "h": pa.array(h[c]), "first": pa.array(a, pa.int32()), "last": pa.array(b, pa.int32())})
 
 
-def _settle(group: pa.Table) -> pa.Table:
-    data, offsets = text_buffer(group.column("bytes"))
-    k, h, m = (np.asarray(group.column(c)) for c in ("k", "h", "m"))
-    return _run_table(k, h, *repeated_windows(data, offsets, m.astype(np.int64)))
+def _settle(window: Window):
+    def settle(group: pa.Table) -> pa.Table:
+        data, offsets = window.stored(group.column("bytes"))
+        k, h, m = (np.asarray(group.column(c)) for c in ("k", "h", "m"))
+        return _run_table(k, h, *repeated_windows(data, offsets, m.astype(np.int64), window))
 
+    return settle
 
-def _each_window(batches):
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("bytes"))
-        m = np.asarray(batch.column("m")).astype(np.int64)
-        context, place = np.repeat(np.arange(len(m)), m), ragged(np.zeros(len(m), np.int64), m)
-        if not len(context):
-            continue
-        starts = offsets[context] + place
-        w = RangeHash(data)(starts, starts + LENGTH).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(w), *(pa.array(np.asarray(batch.column(c))[context]) for c in ("k", "h")), pa.array(place, pa.int32())], ["w", "k", "h", "first"])
+
+def _each_window(window: Window):
+    def each(batches):
+        for batch in batches:
+            data, offsets = window.stored(batch.column("bytes"))
+            m = np.asarray(batch.column("m")).astype(np.int64)
+            context, place = np.repeat(np.arange(len(m)), m), ragged(np.zeros(len(m), np.int64), m)
+            if not len(context):
+                continue
+            starts = offsets[context] + place
+            w = RangeHash(data)(starts, starts + window.length).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(w), *(pa.array(np.asarray(batch.column(c))[context]) for c in ("k", "h")), pa.array(place, pa.int32())], ["w", "k", "h", "first"])
+
+    return each
 
 
 #: Stands for a null doc_id in joins.
@@ -210,54 +251,82 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"), rest.alias("rest"))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def _occurrences(docs: DataFrame, window: Window) -> DataFrame:
     def anchor(batches):
         for batch in slices(batches, "text", 1 << 20):
-            data, offsets = text_buffer(batch.column("text"))
-            k, h, owner, s, m = contexts(data, offsets)
+            k, h, owner, s, m = contexts(*window.units(batch.column("text")), window)
             owner = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), batch.column("doc_id").take(owner), batch.column("t").take(owner), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int16))], ["k", "h", "doc_id", "t", "s", "m"])
 
     return docs.mapInArrow(anchor, "k long, h long, doc_id long, t long, s int, m short")
 
 
-def _cut_out(batches):
-    """The bytes of each wanted context of each text."""
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        for i, want in enumerate(batch.column("want").to_pylist()):
-            raw = data[offsets[i] : offsets[i + 1]].tobytes()
-            rows = [(x["k"], x["h"], x["m"], raw[x["s"] : x["s"] + x["m"] + LENGTH - 1]) for x in want]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int16(), pa.binary()), strict=True)], ["k", "h", "m", "bytes"])
+def _cut_out(window: Window):
+    """The units of each wanted context of each text, as bytes."""
 
+    def cut(batches):
+        for batch in slices(batches, "text", 1 << 20):
+            data, offsets = window.units(batch.column("text"))
+            for i, want in enumerate(batch.column("want").to_pylist()):
+                raw = data[offsets[i] : offsets[i + 1]]
+                rows = [(x["k"], x["h"], x["m"], raw[x["s"] : x["s"] + x["m"] + window.length - 1].tobytes()) for x in want]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int16(), pa.binary()), strict=True)], ["k", "h", "m", "bytes"])
+
+    return cut
+
+
+def _few_words(words: int):
+    """Texts with a string of the length of ``BYTES`` in which there are too few words for a run of ``words`` whole ones.
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Runs of windows that occur again: ``doc_id``, ``t`` and, for each context, ``spans`` (bytes a up to before b), for keyed documents."""
-    found = materialize(_occurrences(docs), "contexts")
+    Of two equal strings, the first and the last word may be whole in one text and part of a longer word in the other.
+    """
+    least = words + 2
+
+    def scan(batches):
+        for batch in slices(batches, "text", 1 << 20):
+            data, offsets = text_buffer(batch.column("text"))
+            _, doc, starts, ends = word_hashes(data, offsets, lower=False)
+            first = np.searchsorted(doc, np.arange(len(offsets)))
+            # From a word, or the text's begin, up to the end of ``least`` words after it, or the text's end.
+            word = np.concatenate([np.arange(len(doc)), first[:-1] - 1])
+            owner = np.concatenate([doc, np.arange(len(offsets) - 1)])
+            begin = np.concatenate([starts, offsets[:-1]])
+            inside = word + least < first[owner + 1]
+            end = offsets[owner + 1].copy()
+            end[inside] = ends[(word + least)[inside]]
+            wide = np.bincount(owner, end - begin >= BYTES.length, len(offsets) - 1) > 0
+            yield batch.filter(pa.array(wide))
+
+    return scan
+
+
+def repeated_spans(docs: DataFrame, window: Window) -> DataFrame:
+    """Runs of windows that occur again: ``doc_id``, ``t`` and, for each context, ``spans`` (units a up to before b, and whether they are words), for keyed documents."""
+    found = materialize(_occurrences(docs, window), "contexts")
     classes = materialize(found.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"), "classes")
     found = materialize(found.join(classes, "k"), "occurrences")
     distinct = materialize(found.groupBy("k", "h", "m").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "s")).alias("at")), "distinct")
     sizes = materialize(distinct.groupBy("k").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     open_ = materialize(distinct.join(sizes, "k").select("k", "h", "m", "size", "at.*"), "open")
     want = open_.groupBy("doc_id", "t").agg(F.collect_list(F.struct("k", "h", "m", "s")).alias("want"))
-    raw = docs.join(want.hint("merge"), ["doc_id", "t"]).select("text", "want").mapInArrow(_cut_out, "k long, h long, m short, bytes binary")
+    raw = docs.join(want.hint("merge"), ["doc_id", "t"]).select("text", "want").mapInArrow(_cut_out(window), "k long, h long, m short, bytes binary")
     raw = materialize(raw.join(sizes, "k"), "open-bytes")
     tasks = max(1, raw.count() // TASK_CONTEXTS)
-    settled = raw.filter(F.col("size") <= CLASS_CONTEXTS).groupBy(F.pmod(F.xxhash64("k"), F.lit(tasks))).applyInArrow(_settle, _RUNS)
-    single = materialize(raw.filter(F.col("size") > CLASS_CONTEXTS).mapInArrow(_each_window, "w long, k long, h long, first int"), "windows")
+    settled = raw.filter(F.col("size") <= CLASS_CONTEXTS).groupBy(F.pmod(F.xxhash64("k"), F.lit(tasks))).applyInArrow(_settle(window), _RUNS)
+    single = materialize(raw.filter(F.col("size") > CLASS_CONTEXTS).mapInArrow(_each_window(window), "w long, k long, h long, first int"), "windows")
     twice = single.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w")
     settled = settled.unionByName(single.join(twice, "w").select("k", "h", "first", F.col("first").alias("last")))
     copied = distinct.filter("n > 1").select("k", "h", F.lit(0).alias("first"), (F.col("m") - 1).cast("int").alias("last"))
     # A context with copies is covered whole; the others have all their runs in one row, so an occurrence stays one row.
     alone = settled.join(distinct.filter("n > 1").select("k", "h"), ["k", "h"], "left_anti")
     runs = copied.unionByName(alone).groupBy("k", "h").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    spans = F.transform("runs", lambda r: F.struct((F.col("s") + r["first"]).alias("a"), (F.col("s") + r["last"] + LENGTH).alias("b")))
+    spans = F.transform("runs", lambda r: F.struct((F.col("s") + r["first"]).alias("a"), (F.col("s") + r["last"] + window.length).alias("b"), F.lit(window.words).alias("words")))
     return found.join(materialize(runs, "runs"), ["k", "h"]).select("doc_id", "t", spans.alias("spans"))
 
 
-def _merged(spans: list) -> list[tuple[int, int]]:
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for a, b in sorted((x["a"], x["b"]) for x in spans):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -265,23 +334,42 @@ def _merged(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def _in_bytes(spans: list, starts: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Spans of a text of ``size`` bytes whose words begin at ``starts``; a run of words takes the blanks up to the next word."""
+    edge = [0, *starts[1:].tolist(), size] if any(x["words"] for x in spans) else []
+    return [(edge[x["a"]], edge[x["b"]]) if x["words"] else (x["a"], x["b"]) for x in spans]
+
+
+def remove_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
     """``doc_id``, ``kept`` (the bytes that remain), ``spans`` (removed runs), ``n_bytes`` and ``rest`` (the other columns) of every row.
 
-    A byte goes if it lies in a string of ``LENGTH`` bytes that also starts anywhere else in the table, in the same text or
-    in another row, which may be a copy of this one. Null texts are empty; texts shorter than ``LENGTH`` stay as they
+    A byte goes if it lies in a string of 400 bytes that also starts anywhere else in the table, in the same text or
+    in another row, which may be a copy of this one. Null texts are empty; texts shorter than 400 bytes stay as they
     are; a null doc_id stays null. The remaining bytes need not be valid UTF-8, since a run may start inside a character.
+
+    With ``words``, runs of so many words go if they occur again, whatever their bytes and the blanks between them, and
+    strings of 400 bytes are sought only in texts where one has fewer words, as in scripts without blanks.
     """
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed.select("doc_id", "t", "text")).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    texts = keyed.select("doc_id", "t", "text")
+    if words is None:
+        spans = repeated_spans(texts, BYTES)
+    else:
+        few = texts.mapInArrow(_few_words(words), texts.schema)
+        spans = repeated_spans(texts, Window(words, words=True)).unionByName(repeated_spans(few, BYTES))
+    spans = spans.groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def keep(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             data, offsets = text_buffer(batch.column("text"))
             kept, runs = [], []
+            if words is not None:
+                _, doc, starts, _ = word_hashes(data, offsets, lower=False)
+                first = np.searchsorted(doc, np.arange(len(offsets)))
             for i, found in enumerate(batch.column("spans").to_pylist()):
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                merged = _merged(found or [])
+                begins = starts[first[i] : first[i + 1]] - offsets[i] if words is not None else offsets[:0]
+                merged = _merged(_in_bytes(found or [], begins, len(raw)))
                 at, parts = 0, []
                 for a, b in merged:
                     parts.append(raw[at:a])

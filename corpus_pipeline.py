@@ -34,8 +34,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur elsewhere too; characters cut in two go, as do texts of which nothing stays."""
-    out = remove_repeats(docs.select(COLUMNS)).filter((F.length("kept") > 0) | (F.size("spans") == 0))
+    """Texts without the passages of over 50 words that occur elsewhere too; characters cut in two go, as do texts of which nothing stays.
+
+    Where 400 bytes hold fewer words, strings of 400 bytes count as such passages too.
+    """
+    out = remove_repeats(docs.select(COLUMNS), words=51).filter((F.length("kept") > 0) | (F.size("spans") == 0))
     # A run may begin or end inside a character: what is left of it is replaced on decoding, and then goes.
     text = F.when(F.size("spans") > 0, F.replace(F.expr("make_valid_utf8(kept)"), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("kept").cast("string"))
     return out.select("doc_id", text.alias("text"), "rest.lang", "rest.source", F.length(text).cast("long").alias("n_chars"))

@@ -243,6 +243,33 @@ def test_repeats(spark, none):
     assert remove_repeats(none).count() == 0
 
 
+def test_repeats_of_words(spark, none):
+    rng = np.random.default_rng(12)
+    passage = [[f"{k}{rng.integers(1000)}" for _ in range(n)] for k, n in zip("abcde", (51, 50, 80, 51, 160), strict=True)]
+    solid = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 9000, 200))
+    around = lambda t: f"{prose(rng, 20)} {t} {prose(rng, 20)}"
+    texts = [around(" ".join(p)) for p in passage for _ in range(2)]
+    texts += [around("\n ".join(passage[2])), " ".join(passage[3]), around(" ".join(passage[4][30:90])), "", None, "a b " * 60, "a " * 50]
+    assert max(len(" ".join(passage[k])) for k in (0, 3)) < 400
+    words = [(t or "").split() for t in texts]
+    seen = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    want = []
+    for w in words:
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - 50):
+            if seen[tuple(w[i : i + 51])] > 1:
+                gone[i : i + 51] = True
+        want.append([x for x, g in zip(w, gone, strict=True) if not g])
+    assert sum(map(len, want)) < sum(map(len, words)) - 900 and want[2:4] == words[2:4]
+    apart = [around(f"{i}{solid}{i}") for i in range(2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, 0.5, 3, 9) for i, t in enumerate(texts + apart)], SCHEMA)
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in remove_repeats(docs, words=51).collect()}
+    assert [got[i].split() for i in range(len(texts))] == want and got[11] == ""
+    # Strings of 400 bytes without blanks go as before.
+    assert [got[len(texts) + i] for i in range(2)] == [t.replace(solid, "") for t in apart]
+    assert remove_repeats(none, words=51).count() == 0
+
+
 def test_language_model(docs, none, texts):
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = [[*(t or "").translate(table).split(), "\0"] for t in texts]
