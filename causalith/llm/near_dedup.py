@@ -4,7 +4,9 @@
    here on, however many copies there are.
 2. Bands of registers are keys. Each bucket of a key has a random hub; its members are paired with the hub alone, the
    similarity of these pairs is estimated from their registers by maximum likelihood, and pairs far below the
-   threshold go. What remains joins nodes to candidate clusters: two sets over the threshold share buckets, and so hubs.
+   threshold go. What remains joins nodes to candidate clusters. Members that their hub does not settle (it is far from
+   them, or so far that a near copy of theirs may be farther) meet again under longer keys with new hubs, until none
+   is left: two sets over the threshold share buckets, and so a hub close to both.
 3. Clusters are dealt to tasks: small ones many to a task, large ones in pairs of bounded blocks. A task counts, for
    one set after the other, the exact intersections with all sets of its blocks over an inverted index of shingles,
    and emits one edge for each set that it links to an earlier one, never pairs.
@@ -19,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, table, text_buffer
+from .common import materialize, mix64, slices, table, text_buffer
 from .components import components
 from .sketch import BAND, band_keys, bands_for, fingerprints, likelihood_similarity, registers, shingle_sets
 
 #: Hub pairs estimated below this are not candidates. The estimate's deviation is about 0.04.
 LEAST_ESTIMATE = 0.45
+#: Keys that an unsettled member gets in the next turn, and registers by which each of them is longer.
+SALTS, MORE = 4, 3
 #: Documents of a cluster that meet in one block, and bytes of text that a task should get.
 BLOCK, TASK_BYTES = 600, 4 << 20
 
@@ -64,10 +68,50 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, m: int) -> DataFrame:
         for batch in batches:
             ra, rb = (text_buffer(batch.column(c))[0].view(np.uint16).reshape(-1, m) for c in ("ra", "rb"))
             na, nb = (np.asarray(batch.column(c), np.float64) for c in ("na", "nb"))
-            keep = likelihood_similarity(ra, rb, na, nb) >= LEAST_ESTIMATE if batch.num_rows else np.zeros(0, bool)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            s = likelihood_similarity(ra, rb, na, nb) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.asarray(s, np.float64))], ["a", "b", "similarity"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimate, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimate, "a long, b long, similarity double")
+
+
+def _longer(rest: DataFrame, nodes: DataFrame, m: int, turn: int) -> DataFrame:
+    """Members of buckets (``node``, ``key``, ``out``) under keys that ``MORE`` drawn registers make longer, ``SALTS`` for each."""
+    drawn = [np.random.default_rng([turn, salt]).choice(m, MORE, replace=False) for salt in range(SALTS)]
+
+    def keys(batches):
+        for batch in batches:
+            r = text_buffer(batch.column("registers"))[0].view(np.uint16).reshape(-1, m)
+            key = np.asarray(batch.column("key")).view(np.uint64)
+            for salt, at in enumerate(drawn):
+                k = mix64(key, 31 + salt)
+                for x in at.tolist():
+                    k = mix64(k ^ r[:, x].astype(np.uint64), 30)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(k.view(np.int64)), batch.column("out")], ["node", "key", "out"])
+
+    return rest.join(nodes.select("node", "registers"), "node").select("node", "key", "out", "registers").mapInArrow(keys, "node long, key long, out boolean")
+
+
+def _candidates(bands: DataFrame, nodes: DataFrame, m: int, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of members and hubs that join the nodes to candidate clusters."""
+    # A near copy of a member closer to the hub than this is not rejected by it: distances add up, and 0.1 is for the estimates.
+    settled = LEAST_ESTIMATE + 1 - percent / 100 + 0.1
+    found, turn = None, 0
+    bands = bands.withColumn("out", F.lit(True))
+    open_ = lambda rows, *more: rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("out").alias("any"), *more).filter("n > 1 and any")
+    while True:
+        hubs = materialize(open_(bands, F.min_by("node", F.xxhash64("node", "key")).alias("hub")).select("key", "hub"), "hubs")
+        if found is not None and hubs.isEmpty():
+            return found
+        members = bands.join(hubs, "key").filter("node <> hub").select("key", "node", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        pairs = materialize(members.select("a", "b").distinct(), "pairs")
+        estimates = materialize(_estimated(pairs, nodes, m), "estimates")
+        close = estimates.filter(F.col("similarity") >= LEAST_ESTIMATE).select("a", "b")
+        found = close if found is None else found.unionByName(close)
+        # Members that were all accepted are joined by their hub already; a rejected one makes its bucket go on.
+        far = estimates.filter(F.col("similarity") < settled)
+        rest = materialize(members.join(far, ["a", "b"]).select("key", "node", (F.col("similarity") < LEAST_ESTIMATE).alias("out")), "rest")
+        turn += 1
+        bands = materialize(_longer(rest.join(open_(rest).select("key"), "key"), nodes, m, turn), "bands")
 
 
 def linked(nodes: np.ndarray, cluster: np.ndarray, sets: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -154,10 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # Written out, so that the join below deals both sides anew and can split a hot set.
     reps = materialize(some.groupBy("n_shingles", "f0", "f1").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers")), "sets")
     bands = materialize(_bands(reps, m), "bands")
-    order = F.xxhash64("node", "key")
-    hubs = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", order).alias("hub")).filter("n > 1").select("key", "hub"), "hubs")
-    pairs = bands.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    weak = components(_estimated(materialize(pairs, "pairs"), reps.select("node", "registers", "n_shingles"), m))
+    weak = components(_candidates(bands, reps.select("node", "registers", "n_shingles"), m, percent))
     sizes = materialize(weak.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "sizes")
     members = weak.join(sizes, "label").select("node", F.col("label").alias("cluster"), "n").join(reps.select("node", (F.col("n_shingles") * 8).alias("bytes")), "node")
     classes = components(_confirmed(materialize(members, "members"), docs, width, percent))

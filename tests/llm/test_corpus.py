@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from causalith.llm import near_dedup
 from causalith.llm.decontamination import contaminated
 from causalith.llm.html_text import main_text
 from causalith.llm.language_model import discounts, fit, score
@@ -155,6 +157,17 @@ def test_near_duplicates(docs, none, texts, percent):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_with_far_hub(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base = [prose(rng, 200) for _ in range(6)]
+    texts = [prose(rng, 300) for _ in range(20)] + [f"{b} {tail}" for b in base for tail in ("one", "two")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # One bucket of all texts: its hub is far from all others but one at most.
+    monkeypatch.setattr(near_dedup, "_bands", lambda nodes, m: nodes.select("node", F.lit(1).cast("long").alias("key")))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts, 80)]
+
+
 def test_sharding(docs, none, texts):
     rows = shuffle_into_shards(docs, shards=8).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
