@@ -8,6 +8,15 @@ import numpy as np
 _GAMMA, _A, _B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
+def combined(key: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A key for each pair of a key and a number."""
+    with np.errstate(over="ignore"):
+        x = key.astype(np.int64).view(np.uint64) + number.astype(np.uint64) * np.uint64(_A) + np.uint64(_GAMMA)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(_A)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(_B)
+        return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
 def uniform(key: np.ndarray, seed: int, draw: int = 0) -> np.ndarray:
     """Uniform on (0, 1) for each key."""
     with np.errstate(over="ignore"):

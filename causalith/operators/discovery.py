@@ -17,6 +17,7 @@ from ..errors import CausalError
 from ..functions.draws import poisson
 from ..functions.special import two_sided_p
 from ..plans.frame import as_double, column, is_number, ranked
+from ..plans.ordinals import numbered
 from ..plans.rows import SparkRows
 from ..plans.storage import stored
 from ..sources.relation import resolve
@@ -45,7 +46,7 @@ class Table:
         for i in range(len(names)):
             rows = rows.filter(~F.isnan(f"x{i}"))
         self.names, self.p = names, len(names)
-        self.df = rows.withColumn("_key", F.xxhash64(*(f"x{i}" for i in range(self.p)))).persist()
+        self.df = numbered(rows.withColumn("_key", F.xxhash64(*(f"x{i}" for i in range(self.p)))).persist()).persist()
         stats = self.df.agg(F.count(F.lit(1)).alias("n"), *(F.stddev_samp(f"x{i}").alias(f"s{i}") for i in range(self.p))).first()
         self.n = stats["n"]
         if self.n < self.p + 10:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..errors import CausalError
 from ..functions.special import chi_square_tail, interval
 from ..plans.frame import Spec, as_double, build, column, is_number, levels_of, ranked
+from ..plans.ordinals import local_folds, local_keys
 from ..plans.rows import LocalRows
 from ..sources.relation import resolve
 from .nuisance import ESTIMATORS, cate, estimate, nuisance
@@ -114,10 +115,10 @@ def _local_group(pdf: pd.DataFrame, plan: dict) -> tuple:
                 columns.append(pdf[c].isna().to_numpy(float))
     columns = [(v - v.mean()) / v.std(ddof=1) for v in columns if v.std(ddof=1) > 1e-12]
     folds = min(plan["folds"], max(2, n // 4))
-    data = {f"x{j}": v for j, v in enumerate(columns)} | {"_t": t, "_y": y, "_key": pdf["_key"].to_numpy(np.int64)}
+    data = {f"x{j}": v for j, v in enumerate(columns)} | {"_t": t, "_y": y, "_key": local_keys(pdf["_key"].to_numpy(np.int64), "_cluster" in pdf)}
     if "_cluster" in pdf:
         data["_cluster"] = pdf["_cluster"].to_numpy(object)
-    data["_fold"] = (pdf["_fold"].to_numpy(np.int64) % folds).astype(float)
+    data["_fold"] = local_folds(data["_key"], t, folds, plan["seed"], "_cluster" in pdf)
     try:
         e = estimate(LocalRows(data, len(columns)), estimand=plan["estimand"], estimator=plan["estimator"], n=n, n_treated=n1, folds=folds, binary=bool(np.isin(y, (0, 1)).all()), trim=plan["trim"], reps=plan["reps"], seed=plan["seed"], clustered="_cluster" in pdf)
     except (CausalError, np.linalg.LinAlgError, ZeroDivisionError) as error:
@@ -152,7 +153,7 @@ def do_ate_by(engine, relation, by=None, **given):
         cols.append(F.col(f"`{column(df, spec.cluster)}`").cast("string").alias("_cluster"))
     made = df.select(*cols)
     content = ["_cluster"] if spec.cluster else [x for x in made.columns]
-    made = made.withColumn("_key", F.xxhash64(*content)).withColumn("_fold", F.pmod(F.xxhash64(F.lit(spec.seed), F.lit("fold"), "_key"), F.lit(2520 * spec.folds)))
+    made = made.withColumn("_key", F.xxhash64(*content))
     keys = [f"_by{i}" for i in range(len(by))]
     sizes = made.groupBy(*keys).count().orderBy("count").limit(engine.config.max_groups + 1).collect()
     if len(sizes) > engine.config.max_groups:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..config import Config
 from ..errors import CausalError
 from ..sources.relation import column, resolve
+from .ordinals import dealt, numbered
 from .rows import SparkRows
 
 
@@ -318,8 +319,10 @@ def build(engine, relation, spec: Spec, mode: str = "binary", outcome: bool = Tr
     # A row's draws are hashes of its content and the seed: they do not depend on its place or partition. The content is
     # that of the relation, since means and deviations depend on the order of sums in their last digits.
     key = F.xxhash64(*(["_cluster"] if spec.cluster else [c for c in raw.columns if c != "_id"]))
+    # Equal rows have draws of their own: the key counts them. Rows of a cluster share theirs.
     made = raw.select(*carried, *aliases, key.alias("_key"))
-    made = made.withColumn("_fold", F.pmod(F.xxhash64(F.lit(spec.seed), F.lit("fold"), "_key"), F.lit(folds)).cast("double"))
+    made = made if spec.cluster else numbered(made)
+    made = dealt(made, folds, spec.seed, "_t" if mode in ("binary", "multi") and not spec.cluster else None)
     return Frame(SparkRows(made, len(features)).keep(), spec, features, n, n_treated, n_missing, binary, treated, control, levels, clusters, warnings, folds)
 
 
