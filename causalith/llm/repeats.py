@@ -6,10 +6,15 @@ windows with the same anchor form a context: the units that they cover. Equal wi
 which is the hash of the ``core`` units that follow the anchor; classes with one occurrence hold no repeats and go.
 
 Equal contexts are one from here on, however many there are, and those with copies are repeats as a whole. The rest is
-settled class by class in bounded tasks: contexts become sequences of content-cut phrases, the suffix array of all
-sequences of a task, built by linear grouping, gives each phrase suffix the longest run that occurs elsewhere, and that
-run says of each window whether it can have a copy. The windows that can are compared in full. Last, the repeats of each
-context go to all its occurrences, and each document drops the bytes they cover.
+settled class by class in bounded tasks. Two windows of different contexts are equal if and only if they lie equally far
+before their anchors, by ``p`` units, and their contexts agree in ``length - p`` units from the anchor on and in ``p`` units
+before it. The suffix array of a task's contexts, read forward from the anchor and backward from it, brings those that
+agree next to each other, and how far neighbours agree says of every window whether it has an equal one.
+
+A class with too many contexts for a task is split: its windows with small ``p`` share more units after the anchor, those
+with large ``p`` more units before it, so each context becomes two shorter ones with longer cores, in new classes. Contexts
+that are equal then are one again. A class of single windows is one context, so this ends with every class in bounds.
+Last, the repeats of each context go to all its occurrences, and each document drops the bytes they cover.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, ragged, slices, table, text_buffer, word_hashes
-from .suffix_array import longest_repeats
+from .suffix_array import suffix_array
 
 
 @dataclass(frozen=True)
@@ -34,7 +39,7 @@ class Window:
 
     @property
     def reach(self) -> int:
-        return self.length // 2
+        return self.length * 3 // 4
 
     @property
     def core(self) -> int:
@@ -55,13 +60,11 @@ class Window:
 
 
 BYTES = Window(400)
-#: Contexts that a task should get, and contexts of one class from which its windows are counted one by one instead.
-TASK_CONTEXTS, CLASS_CONTEXTS = 3000, 20_000
-#: A phrase ends before about one in so many bytes, or words.
-_PHRASE, _WORD_PHRASE = np.uint64(63), np.uint64(7)
+#: Contexts that a task should get; a class with more is split.
+TASK_CONTEXTS = 3000
 #: Bits of a packed value that hold a place; a longer buffer is taken in parts.
 _PLACE = np.uint64(24)
-_PART = 8 << 20
+_PART = 1 << 20
 
 _POWER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_POWER, -1, 1 << 64)
@@ -100,7 +103,7 @@ class RangeHash:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, window: Window):
-    """Class, hash, text, first unit (in its text) and number of windows of all contexts."""
+    """Class, hash, text, first unit (in its text), number of windows, and the anchor's place in it, of all contexts."""
     length, reach, parts = window.length, window.reach, []
     if len(data) > _PART + length:
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -130,73 +133,139 @@ def contexts(data: np.ndarray, offsets: np.ndarray, window: Window):
         m = np.diff(np.append(new, len(starts)))
         owner = np.searchsorted(bounds, first, side="right") - 1
         h = mix64(hashes(first, first + m - 1 + length) ^ m.astype(np.uint64), 13)
-        out.append((hashes(b, b + window.core), h, owner + text, first - bounds[owner] + base, m))
+        out.append((hashes(b, b + window.core), h, owner + text, first - bounds[owner] + base, m, b - first))
     if not out:
         z = np.zeros(0, np.int64)
-        return z.view(np.uint64), z.view(np.uint64), z, z, z
+        return z.view(np.uint64), z.view(np.uint64), z, z, z, z
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _parsed(data: np.ndarray, offsets: np.ndarray):
-    """Where the contexts' phrases begin, the context of each, and a hash that names it; and the hashes of all ranges."""
-    hashes = RangeHash(data)
-    cut = (hashes.grams & (_PHRASE if hashes.gram == 8 else _WORD_PHRASE)) == 0
-    cut[offsets[:-1]] = True
-    # A cut in a context's last bytes would rest on bytes of the next one.
-    tail = (offsets[1:, None] - np.arange(1, hashes.gram)).ravel()
-    cut[tail[tail >= 0]] = False
-    points = np.flatnonzero(cut)
-    owner = np.searchsorted(offsets, points, side="right") - 1
-    ends = np.append(points[1:], len(data))
-    return points, owner, mix64(hashes(points, np.maximum(ends, points + hashes.gram)) ^ (ends - points).astype(np.uint64), 14), hashes
+def _blocks(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of units as rows of numbers that sort as the strings do: words as they are, bytes by eights; and how many each has."""
+    if words:
+        n = lengths
+        at = starts[:, None] + np.arange(max(1, int(n.max(initial=0))))
+        rows = data[np.minimum(at, len(data) - 1)].astype(np.uint64)
+    else:
+        n = -(-lengths // 8)
+        width = 8 * max(1, int(n.max(initial=0)))
+        at = np.arange(width)
+        raw = data[np.minimum(starts[:, None] + at, len(data) - 1)]
+        raw[at >= lengths[:, None]] = 0
+        rows = raw.view(">u8").astype(np.uint64)
+    rows[np.arange(rows.shape[1]) >= n[:, None]] = 0
+    return rows, n
+
+
+def _agreement(rows: np.ndarray, order: np.ndarray, words: bool) -> np.ndarray:
+    """In how many units each string agrees with the one before it in ``order``; 0 for the first."""
+    out = np.zeros(len(order), np.int64)
+    if len(order) < 2:
+        return out
+    a, b = rows[order[1:]], rows[order[:-1]]
+    differ = a != b
+    first = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    if words:
+        out[1:] = first
+        return out
+    at = np.minimum(first, rows.shape[1] - 1)
+    x = np.ascontiguousarray(np.take_along_axis(a, at[:, None], 1)[:, 0] ^ np.take_along_axis(b, at[:, None], 1)[:, 0])
+    same = (x[:, None] >> (np.uint64(56) - np.arange(8, dtype=np.uint64) * np.uint64(8)) == 0).sum(1)
+    out[1:] = 8 * first + np.where(first < rows.shape[1], same, 0)
+    return out
+
+
+def _ordered(strings: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The order of each list of strings (as ``_blocks`` has them), from the suffix array over all of them."""
+    flat = [rows[np.arange(rows.shape[1]) < n[:, None]] for rows, n in strings]
+    count = np.concatenate([n for _, n in strings])
+    k = len(count)
+    # Each string's numbers, then an end mark of its own, all less than the numbers; the last mark is the least.
+    _, names = np.unique(np.concatenate(flat), return_inverse=True)
+    ends = np.cumsum(count + 1) - 1
+    text = np.empty(len(names) + k, np.int64)
+    inner = np.ones(len(text), bool)
+    inner[ends] = False
+    text[inner] = names + k
+    text[ends] = k - 1 - np.arange(k)
+    # Strings of no units have the same order as their marks.
+    begins = np.full(len(text), -1, np.int64)
+    begins[ends - count] = np.arange(k)
+    found = begins[np.array(suffix_array(text.tolist()), np.int64)]
+    found = found[found >= 0]
+    out, before = [], 0
+    for _, n in strings:
+        out.append(found[(found >= before) & (found < before + len(n))] - before)
+        before += len(n)
+    return out
+
+
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, anchor: np.ndarray, window: Window = BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Context and place in it of every window that also starts in another of these contexts.
+
+    ``m``: how many windows each context has; its units are ``length - 1`` more. ``anchor``: the place in it that its windows have in
+    common. Windows of one context cannot be equal: they lie differently far before their anchor.
+    """
+    k = len(m)
+    none = np.zeros(0, np.int64)
+    if k < 2:
+        return none, none
+    starts, size = offsets[:-1], np.diff(offsets)
+    back = data[::-1]
+    right = _blocks(data, starts + anchor, np.minimum(size - anchor, window.length), window.words)
+    left = _blocks(back, len(data) - starts - anchor, np.minimum(anchor, window.length), window.words)
+    orders = _ordered([right, left])
+    groups = []
+    for (rows, _), order in zip((right, left), orders, strict=True):
+        agree = np.empty(k, np.int64)
+        agree[:] = _agreement(rows, order, window.words)
+        groups.append((order, agree))
+    low, high = anchor - m + 1, anchor
+    found = []
+    for p in range(int(low.min()), int(high.max()) + 1):
+        some = np.flatnonzero((low <= p) & (p <= high))
+        if len(some) < 2:
+            continue
+        name = []
+        for (order, agree), need in zip(groups, (window.length - p, p), strict=True):
+            g = np.empty(k, np.int64)
+            g[order] = np.cumsum(agree < need)
+            name.append(g[some])
+        key = name[0] * (k + 1) + name[1]
+        order = np.argsort(key, kind="stable")
+        s = key[order]
+        same = np.zeros(len(s), bool)
+        same[1:] = s[1:] == s[:-1]
+        same[:-1] |= same[1:]
+        hit = some[order[same]]
+        found.append((hit, anchor[hit] - p))
+    if not found:
+        return none, none
+    context, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((place, context))
+    return context[order], place[order]
 
 
-def repeated_windows(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, window: Window = BYTES, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Context and place in it of every window that also starts elsewhere in these contexts.
+def halves(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, window: Window):
+    """Contexts of classes whose windows lie from ``low`` up to before ``high`` before their anchors, split in the middle of that range.
 
-    ``m``: how many windows each context has; its units are ``length - 1`` more. Units are hashed ``piece`` at a time.
+    Class, hash, source, first window's place in the source, number of windows, the anchor's place, and the new range, of each part.
     """
-    length, gram = window.length, 1 if window.words else 8
-    k = len(offsets) - 1
-    group = offsets[:-1] // piece
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), k]
-    pieces = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-    part = lambda a, b: (data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-    parsed = [_parsed(*part(a, b))[:3] for a, b in pieces]
-    owner = np.concatenate([o + a for (_, o, _), (a, _) in zip(parsed, pieces, strict=True)])
-    _, names = np.unique(np.concatenate([n for _, _, n in parsed]), return_inverse=True)
-    # Each context's phrases, then an end mark of its own, all less than the phrases; the last mark is the least.
-    at = np.arange(len(owner)) + owner
-    text = np.empty(len(owner) + k, np.int64)
-    text[at] = names + k
-    text[np.cumsum(np.bincount(owner, minlength=k) + 1) - 1] = k - 1 - np.arange(k)
-    longest = np.asarray(longest_repeats(text.tolist()))[at]
-    found, before = [], 0
-    for (a, b), (points, _, _) in zip(pieces, parsed, strict=True):
-        run = longest[before : before + len(points)]
-        before += len(points)
-        raw, bounds = part(a, b)
-        context, place = np.repeat(np.arange(b - a), m[a:b]), ragged(np.zeros(b - a, np.int64), m[a:b])
-        starts = bounds[context] + place
-        # The first content cut at or after a window's start, and the cuts whose 8 bytes (or word) the window holds whole.
-        q = np.searchsorted(points, starts, side="left") + (place == 0)
-        whole = np.searchsorted(points, starts + length - gram, side="right") - 1 - q
-        inside = (q < len(points)) & (whole > 0)
-        can = ~inside
-        can[inside] = run[q[inside]] >= whole[inside]
-        starts = starts[can]
-        if len(starts):
-            found.append((RangeHash(raw)(starts, starts + length), (context[can] + a).astype(np.int32), place[can].astype(np.int32)))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, context, place = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = np.zeros(len(s), bool)
-    same[1:] = s[1:] == s[:-1]
-    same[:-1] |= same[1:]
-    hit = np.sort(order[same])
-    return context[hit], place[hit]
+    hashes = RangeHash(data)
+    middle = (low + high) // 2
+    out = []
+    for a, b in ((low, middle), (middle, high)):
+        first = np.maximum(anchor - b + 1, 0)
+        last = np.minimum(anchor - a, m - 1)
+        some = np.flatnonzero(last >= first)
+        a, b, first, n = a[some], b[some], first[some], (last - first + 1)[some]
+        at = offsets[some] + anchor[some]
+        # What all windows of the range have in common.
+        with np.errstate(over="ignore"):
+            k = mix64(hashes(at - a, at + window.length - b + 1) ^ (a * 65536 + b).astype(np.uint64), 16)
+        h = mix64(hashes(offsets[some] + first, offsets[some] + first + n - 1 + window.length) ^ n.astype(np.uint64), 13)
+        out.append((k, h, some, first, n, anchor[some] - first, a, b))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _runs(context: np.ndarray, place: np.ndarray):
@@ -209,35 +278,57 @@ def _runs(context: np.ndarray, place: np.ndarray):
 
 
 _RUNS = "k long, h long, first int, last int"
-
-
-def _run_table(k, h, context, place) -> pa.Table:
-    c, a, b = _runs(context, place)
-    return pa.table({"k": pa.array(k[c]), "h": pa.array(h[c]), "first": pa.array(a, pa.int32()), "last": pa.array(b, pa.int32())})
+#: A context or a part of one: its class and hash, the context it is of, the part's first place there, and what ``halves`` says.
+_PARTS = "k long, h long, whole_k long, whole_h long, at int, m int, b int, low int, high int, bytes binary"
+_NAMES = [f.split()[0] for f in _PARTS.split(", ")]
 
 
 def _settle(window: Window):
     def settle(group: pa.Table) -> pa.Table:
         data, offsets = window.stored(group.column("bytes"))
-        k, h, m = (np.asarray(group.column(c)) for c in ("k", "h", "m"))
-        return _run_table(k, h, *repeated_windows(data, offsets, m.astype(np.int64), window))
+        k, h, at, m, b = (np.asarray(group.column(c)).astype(np.int64) for c in ("whole_k", "whole_h", "at", "m", "b"))
+        c, first, last = _runs(*repeated_windows(data, offsets, m, b, window))
+        return pa.table({"k": pa.array(k[c]), "h": pa.array(h[c]), "first": pa.array(at[c] + first, pa.int32()), "last": pa.array(at[c] + last, pa.int32())})
 
     return settle
 
 
-def _each_window(window: Window):
-    def each(batches):
+def _split(window: Window):
+    def split(batches):
         for batch in batches:
-            data, offsets = window.stored(batch.column("bytes"))
-            m = np.asarray(batch.column("m")).astype(np.int64)
-            context, place = np.repeat(np.arange(len(m)), m), ragged(np.zeros(len(m), np.int64), m)
-            if not len(context):
+            if not batch.num_rows:
                 continue
-            starts = offsets[context] + place
-            w = RangeHash(data)(starts, starts + window.length).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w), *(pa.array(np.asarray(batch.column(c))[context]) for c in ("k", "h")), pa.array(place, pa.int32())], ["w", "k", "h", "first"])
-
-    return each
+            data, offsets = window.stored(batch.column("bytes"))
+            m, b, low, high, at = (np.asarray(batch.column(c)).astype(np.int64) for c in ("m", "b", "low", "high", "at"))
+            k, h, some, first, n, anchor, a, z = halves(data, offsets, m, b, low, high, window)
+            begin = offsets[some] + first
+            raw = [data[x:y].tobytes() for x, y in zip(begin.tolist(), (begin + n + window.length - 1).tolist(), strict=True)]
+            whole = [batch.column(c).take(pa.array(some)) for c in ("whole_k", "whole_h")]
+            small = [pa.array(x, pa.int32()) for x in (at[some] + first, n, anchor, a, z)]
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), *whole, *small, pa.array(raw, pa.binary())], _NAMES)
+
+    return split
+
+
+def _settled(parts: DataFrame, window: Window) -> DataFrame:
+    """Runs of windows of each context that occur in another one; ``parts`` are distinct contexts with ``size``, the contexts of their class."""
+    count = F.count(F.lit(1))
+    runs = None
+    while True:
+        few = parts.filter(F.col("size") <= TASK_CONTEXTS)
+        tasks = max(1, few.count() // TASK_CONTEXTS)
+        found = few.groupBy(F.pmod(F.xxhash64("k"), F.lit(tasks))).applyInArrow(_settle(window), _RUNS)
+        runs = found if runs is None else runs.unionByName(found)
+        many = parts.filter(F.col("size") > TASK_CONTEXTS)
+        if many.isEmpty():
+            return runs
+        many = materialize(many.select(_NAMES).mapInArrow(_split(window), _PARTS), "parts")
+        equal = materialize(many.groupBy("k", "h").agg(count.alias("n"), F.min(F.struct("whole_k", "whole_h", "at")).alias("one")), "equal")
+        sizes = equal.groupBy("k").agg(count.alias("size")).filter("size > 1")
+        copied = many.drop("bytes").join(equal.filter("n > 1").select("k", "h"), ["k", "h"])
+        runs = runs.unionByName(copied.select(F.col("whole_k").alias("k"), F.col("whole_h").alias("h"), F.col("at").alias("first"), (F.col("at") + F.col("m") - 1).alias("last")))
+        one = many.join(equal.join(sizes, "k").select("k", "h", "one", "size"), ["k", "h"]).filter((F.col("one.whole_k") == F.col("whole_k")) & (F.col("one.whole_h") == F.col("whole_h")) & (F.col("one.at") == F.col("at")))
+        parts = materialize(one.select(*_NAMES, "size"), "parts")
 
 
 #: Stands for a null doc_id in joins.
@@ -254,11 +345,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _occurrences(docs: DataFrame, window: Window) -> DataFrame:
     def anchor(batches):
         for batch in slices(batches, "text", 1 << 20):
-            k, h, owner, s, m = contexts(*window.units(batch.column("text")), window)
+            k, h, owner, s, m, b = contexts(*window.units(batch.column("text")), window)
             owner = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), batch.column("doc_id").take(owner), batch.column("t").take(owner), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int16))], ["k", "h", "doc_id", "t", "s", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), batch.column("doc_id").take(owner), batch.column("t").take(owner), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int16)), pa.array(b.astype(np.int16))], ["k", "h", "doc_id", "t", "s", "m", "b"])
 
-    return docs.mapInArrow(anchor, "k long, h long, doc_id long, t long, s int, m short")
+    return docs.mapInArrow(anchor, "k long, h long, doc_id long, t long, s int, m short, b short")
 
 
 def _cut_out(window: Window):
@@ -269,8 +360,8 @@ def _cut_out(window: Window):
             data, offsets = window.units(batch.column("text"))
             for i, want in enumerate(batch.column("want").to_pylist()):
                 raw = data[offsets[i] : offsets[i + 1]]
-                rows = [(x["k"], x["h"], x["m"], raw[x["s"] : x["s"] + x["m"] + window.length - 1].tobytes()) for x in want]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int16(), pa.binary()), strict=True)], ["k", "h", "m", "bytes"])
+                rows = [(x["k"], x["h"], x["m"], x["b"], raw[x["s"] : x["s"] + x["m"] + window.length - 1].tobytes()) for x in want]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["k", "h", "m", "b", "bytes"])
 
     return cut
 
@@ -305,17 +396,12 @@ def repeated_spans(docs: DataFrame, window: Window) -> DataFrame:
     found = materialize(_occurrences(docs, window), "contexts")
     classes = materialize(found.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"), "classes")
     found = materialize(found.join(classes, "k"), "occurrences")
-    distinct = materialize(found.groupBy("k", "h", "m").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "s")).alias("at")), "distinct")
+    distinct = materialize(found.groupBy("k", "h", "m", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "s")).alias("at")), "distinct")
     sizes = materialize(distinct.groupBy("k").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-    open_ = materialize(distinct.join(sizes, "k").select("k", "h", "m", "size", "at.*"), "open")
-    want = open_.groupBy("doc_id", "t").agg(F.collect_list(F.struct("k", "h", "m", "s")).alias("want"))
-    raw = docs.join(want.hint("merge"), ["doc_id", "t"]).select("text", "want").mapInArrow(_cut_out(window), "k long, h long, m short, bytes binary")
-    raw = materialize(raw.join(sizes, "k"), "open-bytes")
-    tasks = max(1, raw.count() // TASK_CONTEXTS)
-    settled = raw.filter(F.col("size") <= CLASS_CONTEXTS).groupBy(F.pmod(F.xxhash64("k"), F.lit(tasks))).applyInArrow(_settle(window), _RUNS)
-    single = materialize(raw.filter(F.col("size") > CLASS_CONTEXTS).mapInArrow(_each_window(window), "w long, k long, h long, first int"), "windows")
-    twice = single.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w")
-    settled = settled.unionByName(single.join(twice, "w").select("k", "h", "first", F.col("first").alias("last")))
+    want = distinct.join(sizes, "k").select("k", "h", "m", "b", "at.*").groupBy("doc_id", "t").agg(F.collect_list(F.struct("k", "h", "m", "b", "s")).alias("want"))
+    raw = docs.join(want.hint("merge"), ["doc_id", "t"]).select("text", "want").mapInArrow(_cut_out(window), "k long, h long, m int, b int, bytes binary")
+    parts = raw.join(sizes, "k").select("k", "h", F.col("k").alias("whole_k"), F.col("h").alias("whole_h"), F.lit(0).alias("at"), "m", "b", F.lit(0).alias("low"), F.lit(window.reach).alias("high"), "bytes", "size")
+    settled = _settled(materialize(parts, "parts"), window)
     copied = distinct.filter("n > 1").select("k", "h", F.lit(0).alias("first"), (F.col("m") - 1).cast("int").alias("last"))
     # A context with copies is covered whole; the others have all their runs in one row, so an occurrence stays one row.
     alone = settled.join(distinct.filter("n > 1").select("k", "h"), ["k", "h"], "left_anti")
@@ -334,26 +420,38 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _in_bytes(spans: list, starts: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """Spans of a text of ``size`` bytes whose words begin at ``starts``; a run of words takes the blanks up to the next word."""
-    edge = [0, *starts[1:].tolist(), size] if any(x["words"] for x in spans) else []
-    return [(edge[x["a"]], edge[x["b"]]) if x["words"] else (x["a"], x["b"]) for x in spans]
+def _in_bytes(spans: list, starts: np.ndarray, raw: bytes) -> list[tuple[int, int]]:
+    """Spans of a text whose words begin at ``starts``, as bytes of whole characters; a run of words takes the blanks up to the next word."""
+    edge = [0, *starts[1:].tolist(), len(raw)]
+    out = []
+    for x in spans:
+        a, b = (edge[x["a"]], edge[x["b"]]) if x["words"] else (x["a"], x["b"])
+        while a > 0 and raw[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b += 1
+        out.append((a, b))
+    return out
 
 
-def remove_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
-    """``doc_id``, ``kept`` (the bytes that remain), ``spans`` (removed runs), ``n_bytes`` and ``rest`` (the other columns) of every row.
+def remove_repeats(docs: DataFrame, words: int | None = None, marked: int | None = None) -> DataFrame:
+    """``doc_id``, ``kept`` (the bytes that remain), ``spans`` (removed runs), ``n_bytes``, ``n_marked`` and ``rest`` (the other columns) of every row.
 
     A byte goes if it lies in a string of 400 bytes that also starts anywhere else in the table, in the same text or
     in another row, which may be a copy of this one. Null texts are empty; texts shorter than 400 bytes stay as they
     are; a null doc_id stays null. The remaining bytes need not be valid UTF-8, since a run may start inside a character.
 
     With ``words``, runs of so many words go if they occur again, whatever their bytes and the blanks between them, and
-    strings of 400 bytes are sought only in texts where one has fewer words, as in scripts without blanks.
+    strings of 400 bytes are sought only in texts where one has fewer words, as in scripts without blanks; characters that
+    such a string cuts go whole. With ``marked``, ``n_marked`` is the number of words of a text that lie in runs of so many
+    words which occur again (else 0); these need not be long enough to go.
     """
     keyed = _keyed(docs)
     texts = keyed.select("doc_id", "t", "text")
     if words is None:
         spans = repeated_spans(texts, BYTES)
+        if marked is not None:
+            spans = spans.unionByName(repeated_spans(texts, Window(marked, words=True)))
     else:
         few = texts.mapInArrow(_few_words(words), texts.schema)
         spans = repeated_spans(texts, Window(words, words=True)).unionByName(repeated_spans(few, BYTES))
@@ -362,34 +460,45 @@ def remove_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
     def keep(batches):
         for batch in slices(batches, "text", 1 << 20):
             data, offsets = text_buffer(batch.column("text"))
-            kept, runs = [], []
+            kept, runs, count = [], [], []
             if words is not None:
                 _, doc, starts, _ = word_hashes(data, offsets, lower=False)
                 first = np.searchsorted(doc, np.arange(len(offsets)))
             for i, found in enumerate(batch.column("spans").to_pylist()):
+                found = found or []
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                begins = starts[first[i] : first[i + 1]] - offsets[i] if words is not None else offsets[:0]
-                merged = _merged(_in_bytes(found or [], begins, len(raw)))
+                if words is None:
+                    merged = _merged([(x["a"], x["b"]) for x in found if not x["words"]])
+                    count.append(sum(b - a for a, b in _merged([(x["a"], x["b"]) for x in found if x["words"]])))
+                else:
+                    merged = _merged(_in_bytes(found, starts[first[i] : first[i + 1]] - offsets[i], raw))
+                    count.append(0)
                 at, parts = 0, []
                 for a, b in merged:
                     parts.append(raw[at:a])
                     at = b
                 kept.append(b"".join([*parts, raw[at:]]))
                 runs.append([{"a": a, "b": b} for a, b in merged])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct({"a": pa.int32(), "b": pa.int32()}))), batch.column("rest")], ["doc_id", "n_bytes", "kept", "spans", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct({"a": pa.int32(), "b": pa.int32()}))), pa.array(count, pa.int64()), batch.column("rest")], ["doc_id", "n_bytes", "kept", "spans", "n_marked", "rest"])
 
-    out = keyed.join(spans.hint("merge"), ["doc_id", "t"], "left").select("doc_id", "text", "spans", "rest").mapInArrow(keep, f"doc_id long, n_bytes long, kept binary, spans array<struct<a: int, b: int>>, rest {keyed.schema['rest'].dataType.simpleString()}")
+    out = keyed.join(spans.hint("merge"), ["doc_id", "t"], "left").select("doc_id", "text", "spans", "rest").mapInArrow(keep, f"doc_id long, n_bytes long, kept binary, spans array<struct<a: int, b: int>>, n_marked long, rest {keyed.schema['rest'].dataType.simpleString()}")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), marked=51)
+    removed = (F.col("n_bytes") - F.length("kept")).cast("long")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("n_marked").alias("n_passage_words"))
 
 
 ORACLE_SQL = {
-    "op9_suffix_dedup": """
-with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+    "op9_suffix_dedup": r"""
+with p as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+pw as (select doc_id, i, md5(array_to_string(w[i + 1:i + 51], ' ')) as h from p, unnest(range(0, greatest(len(w) - 50, 0))) as r(i)),
+pagain as (select h from pw group by h having count(*) > 1),
+phit as (select doc_id, least(51, coalesce(lead(i) over (partition by doc_id order by i) - i, 51)) as c from pw where h in (select h from pagain)),
+passages as (select doc_id, sum(c) as n_passage_words from phit group by doc_id),
+d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
 w as (select doc_id, i, md5(substr(x, 2 * i + 1, 800)) as h from d, unnest(range(0, greatest(length(x) // 2 - 399, 0))) as r(i)),
 again as (select h from w group by h having count(*) > 1),
 hit as (select doc_id, i, i - coalesce(lag(i) over (partition by doc_id order by i), -1000) > 400 as fresh from w where h in (select h from again)),
@@ -397,8 +506,8 @@ run as (select doc_id, i, sum(fresh::int) over (partition by doc_id order by i)
 span as (select doc_id, min(i) as a, max(i) + 400 as b from run group by doc_id, k),
 gap as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from span),
 kept as (select doc_id, count(*) as n, sum(b - a) as gone, max(b) as last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) as k from gap join d using (doc_id) group by doc_id)
-select doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans,
+select doc_id, coalesce(n_passage_words, 0)::bigint as n_passage_words, (length(x) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans,
  sha256(unhex(case when n is null then x else k || substr(x, 2 * last + 1) end)) as kept_sha256
-from d left join kept using (doc_id)
+from d left join kept using (doc_id) left join passages using (doc_id)
 """,
 }

@@ -26,21 +26,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least doc_id; rows without doc_id stay."""
+    """One document of each class of near duplicates, the one with the least doc_id; rows without doc_id stay.
+
+    Rows that share a doc_id are one document and stay together; of rows equal in all columns one stays.
+    """
     docs = docs.select(COLUMNS)
     kept = near_duplicates(docs, width=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    one = docs.join(kept.hint("merge"), "doc_id").dropDuplicates(COLUMNS)
     return one.select(COLUMNS).unionByName(docs.filter("doc_id is null"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of over 50 words that occur elsewhere too; characters cut in two go, as do texts of which nothing stays.
+    """Texts without the passages of over 50 words that occur elsewhere too; texts of which nothing stays go.
 
     Where 400 bytes hold fewer words, strings of 400 bytes count as such passages too.
     """
     out = remove_repeats(docs.select(COLUMNS), words=51).filter((F.length("kept") > 0) | (F.size("spans") == 0))
-    # A run may begin or end inside a character: what is left of it is replaced on decoding, and then goes.
-    text = F.when(F.size("spans") > 0, F.replace(F.expr("make_valid_utf8(kept)"), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("kept").cast("string"))
+    text = F.col("kept").cast("string")
     return out.select("doc_id", text.alias("text"), "rest.lang", "rest.source", F.length(text).cast("long").alias("n_chars"))
 
 
@@ -53,7 +55,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
-    return pack(docs, keep_ids=False)
+    return pack(docs, keep_ids=True)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("decontaminate", decontaminate), ("packing", packing)]

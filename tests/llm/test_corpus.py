@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from causalith.llm import near_dedup
+from causalith.llm import near_dedup, repeats
 from causalith.llm.decontamination import contaminated
 from causalith.llm.html_text import main_text
 from causalith.llm.language_model import discounts, fit, score
@@ -237,10 +237,13 @@ def test_suffix_array():
     assert longest_repeats(text) == want
 
 
-def test_repeats(spark, none):
+@pytest.mark.parametrize("most", [1000, 2])
+def test_repeats(spark, none, monkeypatch, most):
+    monkeypatch.setattr(repeats, "TASK_CONTEXTS", most)  # classes of more than 2 contexts are split
     rng = np.random.default_rng(4)
     passage = [prose(rng, 150) for _ in range(3)]
     texts = [prose(rng, 300), passage[0] + prose(rng, 60), prose(rng, 40) + passage[0] + "é" + passage[1], passage[1][:399], passage[1][:400], prose(rng, 10) + passage[2] + " " + passage[2], "", None, "ab" * 500, "x" * 399, "x" * 400, "y" * 401, "same " * 100, "same " * 100]
+    texts += [prose(rng, 30)[-k:] + passage[0][200 : 700 - 9 * k] + prose(rng, 30)[: 5 * k] for k in range(1, 20)]
     raw = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + 400] for r in raw for i in range(len(r) - 399))
     want = []
@@ -253,9 +256,34 @@ def test_repeats(spark, none):
     docs = spark.createDataFrame([(i, t, "en", "s", None, 0.5, 3, 9) for i, t in enumerate(texts)], SCHEMA)
     got = {r["doc_id"]: r for r in remove_repeats(docs).collect()}
     assert [(bytes(got[i]["kept"]), len(got[i]["spans"])) for i in range(len(texts))] == want
+    marked = {r["doc_id"]: r for r in remove_repeats(docs, marked=51).select("doc_id", "kept", "n_marked").collect()}
+    assert all(bytes(marked[i]["kept"]) == want[i][0] for i in range(len(texts)))
+    words = [(t or "").split() for t in texts]
+    seen = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    assert [marked[i]["n_marked"] for i in range(len(texts))] == [len({j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}) for w in words]
     assert remove_repeats(none).count() == 0
 
 
+def test_repeats_come_from_the_order(monkeypatch):
+    """Without the suffix array's order, repeats are missed."""
+    rng = np.random.default_rng(3)
+    window = repeats.Window(400)
+    shared = rng.integers(0, 256, 500).astype(np.uint8)
+    texts = [np.concatenate([rng.integers(0, 256, 90).astype(np.uint8), shared, rng.integers(0, 256, 90).astype(np.uint8)]) for _ in range(12)]
+    data, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    k, _, owner, s, m, b = repeats.contexts(data, offsets, window)
+    k, back, n = np.unique(k, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(n[back] > 1)
+    begin = offsets[owner[some]] + s[some]
+    parts = [data[x : x + n + 399] for x, n in zip(begin, m[some], strict=True)]
+    args = (np.concatenate(parts), np.cumsum([0, *map(len, parts)]), m[some], b[some], window)
+    context, place = repeats.repeated_windows(*args)
+    found = {(int(owner[some][c]), int(s[some][c] + p)) for c, p in zip(context, place, strict=True)}
+    assert found >= {(t, 90 + i) for t in range(12) for i in range(101)}
+    monkeypatch.setattr(repeats, "suffix_array", lambda text: rng.permutation(len(text)).tolist())
+    assert len(repeats.repeated_windows(*args)[0]) < len(context)
+
+
 def test_repeats_of_words(spark, none):
     rng = np.random.default_rng(12)
     passage = [[f"{k}{rng.integers(1000)}" for _ in range(n)] for k, n in zip("abcde", (51, 50, 80, 51, 160), strict=True)]
