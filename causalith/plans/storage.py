@@ -7,10 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import CausalError
+
 
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise CausalError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="causalith-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
