@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="causalith-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -135,8 +139,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     return h, doc, starts, ends
 
 
-def slices(batches, column: str, limit: int = 4 << 20):
-    """Arrow batches cut so that a text column has about ``limit`` bytes in each; a longer text stands alone."""
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: workers stay for other tasks and their neighbours."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def slices(batches, column: str, limit: int = 1 << 20):
+    """Arrow batches cut so that a text column has about ``limit`` bytes in each; a longer text stands alone.
+
+    When all are used, the memory that they took is released.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -145,3 +163,5 @@ def slices(batches, column: str, limit: int = 4 << 20):
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+        del batch
+    release()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
-from .tokens import tokenizer_path, word_tokenizer
+from .tokens import WordTokenizer, tokenizer_path
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, open boolean"
 #: Partitions whose last windows are merged in one task.
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, capacity: int = 2048, open_windows: int = 64, end_id:
         from pyspark import TaskContext
 
         sequence = TaskContext.get().partitionId() << 32
-        tokenizer, windows, rows = word_tokenizer(path), Windows(capacity, open_windows), []
+        tokenizer, windows, rows = WordTokenizer(path), Windows(capacity, open_windows), []
         for batch in slices(batches, "text"):
             ids, offsets = tokenizer.encode(batch.column("text"), end_id)
             bounds = offsets.tolist()

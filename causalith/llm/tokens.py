@@ -19,7 +19,7 @@ class WordTokenizer:
     of this cache's memory; words beyond it are encoded again when they return.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,16 +86,6 @@ class WordTokenizer:
         return whole, offsets
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
-def word_tokenizer(path: str) -> WordTokenizer:
-    """This worker's tokenizer for a file."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
-
-
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
