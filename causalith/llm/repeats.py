@@ -5,8 +5,8 @@ bytes or one word among its first ``reach`` places, so equal windows have their
 windows with the same anchor form a context: the units that they cover. Equal windows lie in contexts of the same class,
 which is the hash of the ``core`` units that follow the anchor; classes with one occurrence hold no repeats and go.
 
-Equal contexts are one from here on, however many there are, and those with copies are repeats as a whole. The rest is
-settled class by class in bounded tasks. Two windows of different contexts are equal if and only if they lie equally far
+Equal contexts are one from here on, however many there are, and those with copies are repeats as a whole; a task does
+that for the texts it holds before anything is shuffled. The rest is settled class by class in bounded tasks. Two windows of different contexts are equal if and only if they lie equally far
 before their anchors, by ``p`` units, and their contexts agree in ``length - p`` units from the anchor on and in ``p`` units
 before it. The suffix array of a task's contexts, read forward from the anchor and backward from it, brings those that
 agree next to each other, and how far neighbours agree says of every window whether it has an equal one.
@@ -342,14 +342,46 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"), rest.alias("rest"))
 
 
+def _first_and_copied(k: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each context is the first of its equals, and whether it has any."""
+    order = np.lexsort((h, k))
+    new = np.ones(len(k), bool)
+    new[1:] = (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])
+    group = np.cumsum(new) - 1
+    first, copied = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    first[order[new]] = True
+    copied[order] = (np.bincount(group)[group] > 1) if len(k) else False
+    return first, copied
+
+
 def _occurrences(docs: DataFrame, window: Window) -> DataFrame:
+    """Contexts of each text: ``k``, ``h``, ``doc_id``, ``t``, first window ``s``, windows ``m`` and anchor ``b``.
+
+    Contexts that occur more than once in a batch of texts are repeats without further ado: what they cover is a row of its own for
+    each run of neighbours, with the units from ``s`` up to before ``e`` and without ``k``; one of them stays as a context.
+    """
+
     def anchor(batches):
         for batch in slices(batches, "text", 1 << 20):
             k, h, owner, s, m, b = contexts(*window.units(batch.column("text")), window)
-            owner = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), batch.column("doc_id").take(owner), batch.column("t").take(owner), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int16)), pa.array(b.astype(np.int16))], ["k", "h", "doc_id", "t", "s", "m", "b"])
-
-    return docs.mapInArrow(anchor, "k long, h long, doc_id long, t long, s int, m short, b short")
+            one, copied = _first_and_copied(k, h)
+            stay = np.flatnonzero(one | ~copied)
+            gone = np.flatnonzero(copied)
+            o, x, n = owner[gone], s[gone], m[gone]
+            new = np.ones(len(gone), bool)
+            new[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1] + n[:-1])
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(gone)) - 1 if len(begin) else begin
+            none = len(begin)
+            column = lambda v, kind, none=none: pa.concat_arrays([pa.array(v, kind), pa.nulls(none, kind)])
+            at = pa.array(np.concatenate([owner[stay], o[begin]]))
+            ends = pa.concat_arrays([pa.nulls(len(stay), pa.int32()), pa.array((x + n - 1 + window.length)[end], pa.int32())])
+            yield pa.RecordBatch.from_arrays(
+                [column(k.view(np.int64)[stay], pa.int64()), column(h.view(np.int64)[stay], pa.int64()), batch.column("doc_id").take(at), batch.column("t").take(at), pa.array(np.concatenate([s[stay], x[begin]]), pa.int32()), column(m[stay], pa.int16()), column(b[stay], pa.int16()), ends],
+                ["k", "h", "doc_id", "t", "s", "m", "b", "e"],
+            )
+
+    return docs.mapInArrow(anchor, "k long, h long, doc_id long, t long, s int, m short, b short, e int")
 
 
 def _cut_out(window: Window):
@@ -394,6 +426,8 @@ def _few_words(words: int):
 def repeated_spans(docs: DataFrame, window: Window) -> DataFrame:
     """Runs of windows that occur again: ``doc_id``, ``t`` and, for each context, ``spans`` (units a up to before b, and whether they are words), for keyed documents."""
     found = materialize(_occurrences(docs, window), "contexts")
+    again = found.filter("k is null").select("doc_id", "t", F.array(F.struct(F.col("s").alias("a"), F.col("e").alias("b"), F.lit(window.words).alias("words"))).alias("spans"))
+    found = found.filter("k is not null").drop("e")
     classes = materialize(found.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"), "classes")
     found = materialize(found.join(classes, "k"), "occurrences")
     distinct = materialize(found.groupBy("k", "h", "m", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "s")).alias("at")), "distinct")
@@ -407,7 +441,7 @@ def repeated_spans(docs: DataFrame, window: Window) -> DataFrame:
     alone = settled.join(distinct.filter("n > 1").select("k", "h"), ["k", "h"], "left_anti")
     runs = copied.unionByName(alone).groupBy("k", "h").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     spans = F.transform("runs", lambda r: F.struct((F.col("s") + r["first"]).alias("a"), (F.col("s") + r["last"] + window.length).alias("b"), F.lit(window.words).alias("words")))
-    return found.join(materialize(runs, "runs"), ["k", "h"]).select("doc_id", "t", spans.alias("spans"))
+    return found.join(materialize(runs, "runs"), ["k", "h"]).select("doc_id", "t", spans.alias("spans")).unionByName(again)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
