@@ -1,33 +1,32 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped hash arrays.
-
-Words are 64-bit hashes whose upper halves are their codes; a bigram's key is the first word's code followed by the
-second's. Tasks count the n-grams of their own documents and send sorted runs of keys and counts by range of the key.
-Each range is merged by one task, which writes the sorted keys and counts to the shared folder as plain arrays: bigrams
-and their contexts by the first word, words and their continuation counts by the second. The number of ranges follows
-the size of the corpus, so a range is bounded; a frequent n-gram is one entry of each run.
-
-Workers map the arrays of all ranges into memory and look their documents' n-grams up by binary search.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark and scored from memory-mapped hash arrays.
+
+Words are 64-bit hashes. A first pass counts them and gives each a number. A second one counts trigrams of numbers: tasks
+send sorted runs of them by range, and each range is merged by one task, which writes sorted arrays of n-gram hashes with
+their counts to the shared folder and sends on what the next lower order needs: how many words each bigram continues,
+then how many each word does, and the sums over each context. A range is that of a trigram's first two words, so their
+sums are made where the trigrams are; if both words occur more than ``HOT`` times, it is that of all three, and the parts of the
+sums meet in the next step. So no range grows with a frequent word. Counts have 64 bits and are exact; only the
+stored arrays name an n-gram by part of its hash (see ``hash_arrays``).
+
+The ranges' files are joined to ``SHARDS`` files of each kind, which workers map into memory: a fixed number, whatever the
+corpus. N-grams of a slice of documents are looked up all at once, by binary search.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mounted_dir, slices, table, text_buffer, word_hashes
+from .common import mix64, mounted_dir, slices, table, text_buffer, word_hashes
+from .hash_arrays import Shard, coded, join_files, keyed, load, packed, places, save, unpacked
 
-#: What stands before the first and after the last word; no word hashes to its code but by chance.
-START, END = np.uint64(0x5374617274000001), np.uint64(0x456E640000000002)
-#: Bytes of text per range, and n-grams that a task holds before it sends a run.
-RANGE_BYTES, RUN = 8 << 20, 4_000_000
-_HALF = np.uint64(32)
-_LOW = np.uint64(0xFFFFFFFF)
+#: The hash of a text's end, which is a word; and the number of what stands before a text's first word.
+END, START = np.uint64(0x456E640000000002), 0
+#: Bytes of text per range, tokens whose n-grams a task holds before it sends a run, files of each kind, and occurrences of
+#: a word from which it is frequent.
+RANGE_BYTES, RUN, SHARDS, HOT = 16 << 20, 1_000_000, 32, 200_000
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,63 +42,77 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def bigram_keys(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[bounds[:-1]] = START
-    return (before >> _HALF << _HALF) | (words >> _HALF)
+def before(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last word and the last but one before each token."""
+    one, two = np.full(len(ids), START), np.full(len(ids), START)
+    one[1:] = ids[:-1]
+    one[bounds[:-1]] = START
+    two[1:] = one[:-1]
+    two[bounds[:-1]] = START
+    return one, two
+
 
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(mix64(a.astype(np.uint64), 41) ^ b.astype(np.uint64), 42)
 
-def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and their counts."""
-    if counts is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-    if not len(keys):
-        return keys, np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts.astype(np.int64), first)
+
+def triple_key(pair: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix64(pair ^ mix64(c.astype(np.uint64), 43), 44)
 
 
 def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return ((keys >> _HALF) * np.uint64(ranges) >> _HALF).astype(np.int64)
+    # From the lower half: the upper bits are the buckets'.
+    return ((keys & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _runs(kind: str, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
-    r = _range(keys, ranges)
-    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(r)) if len(r) else first
-    small = counts.astype("<u4")
-    rows = [(kind, int(r[a]), keys[a:b].tobytes(), small[a:b].tobytes()) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "range", "keys", "counts"])
+_ROWS = "kind string, range long, keys binary, blob binary, sums array<long>"
+_NAMES = [f.split()[0] for f in _ROWS.split(", ")]
+_KINDS = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+
 
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], names=_NAMES)
 
-_RUN_TYPE = "kind string, range long, keys binary, counts binary"
 
+def _dealt(kind: str, range_: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
+    """A row for each range that some of the rows of numbers lie in; their order stays."""
+    order = np.argsort(range_, kind="stable")
+    r = range_[order]
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
+    out = []
+    for a, b in zip(first.tolist(), np.append(first[1:], len(r)).tolist() if len(r) else [], strict=True):
+        out.append((kind, int(r[a]), None, packed([c[order[a:b]] for c in columns]), None))
+    return out
 
-def _joined(group: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    group = group.filter(pa.compute.equal(group.column("kind"), kind)) if group.num_rows else group
-    keys = text_buffer(group.column("keys"))[0]
-    counts = text_buffer(group.column("counts"))[0]
-    return counted(np.ascontiguousarray(keys).view("<u8"), np.ascontiguousarray(counts).view("<u4"))
 
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of keys in ascending order, and the sums of their values."""
+    if not len(keys[0]):
+        return keys, values
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    return [k[first] for k in keys], [np.add.reduceat(v[order], first) for v in values]
 
-def _save(folder: str, name: str, values: np.ndarray) -> None:
-    """A whole file or none, also when two attempts of a task write it."""
-    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
-        f.write(np.ascontiguousarray(values).tobytes())
-    os.replace(part, f"{folder}/{name}")
 
+def _gathered(group: pa.Table, kind: str, n_keys: int, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The merged runs of one kind."""
+    blobs = [b for k, b in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True) if k == kind]
+    parts = [unpacked(b) for b in blobs]
+    columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(n)]
+    return _summed(columns[:n_keys], columns[n_keys:])
 
-def _tally(counts: np.ndarray) -> list[int]:
-    """How many n-grams have the count 1, 2, 3, 4."""
-    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
+def _by_context(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of leading keys with the sum of their counts, and how many of these are 1, 2, and 3 or more."""
+    return _summed(keys, [counts, *((np.minimum(counts, 3) == n).astype(np.int64) for n in (1, 2, 3))])
 
-_STATS = "n1 long, n2 long, n3 long, n4 long, kinds long, total long"
+
+def _tally(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3, 4, how many there are, and their sum."""
+    return [*np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist(), len(counts), int(counts.sum())]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -111,156 +124,311 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k) for k, x in enumerate(d, 1))])
 
 
-class Ranges:
-    """One kind of array over all ranges, mapped into memory."""
-
-    def __init__(self, folder: str, ranges: int, keys: str, values: dict[str, str], key_type: str = "<u8"):
-        self.folder, self.ranges, self.keys, self.values, self.key_type = folder, ranges, keys, values, key_type
-        self.open: dict[str, np.ndarray] = {}
-
-    def _map(self, name: str, kind: str) -> np.ndarray:
-        if name not in self.open:
-            path = f"{self.folder}/{name}"
-            some = os.path.exists(path) and os.path.getsize(path)
-            self.open[name] = np.memmap(path, kind, "r") if some else np.zeros(0, kind)
-        return self.open[name]
-
-    def find(self, wanted: np.ndarray) -> list[np.ndarray]:
-        """For sorted distinct keys the values, 0 where a key is missing."""
-        out = [np.zeros(len(wanted), np.int64) for _ in self.values]
-        codes = wanted if self.key_type == "<u8" else wanted.astype(np.uint64) << _HALF
-        r = _range(codes, self.ranges)
-        for first, last in _spans(r):
-            i = int(r[first])
-            keys = self._map(f"{self.keys}-{i}", self.key_type)
-            if not len(keys):
-                continue
-            q = wanted[first:last]
-            at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
-            hit = keys[at] == q
-            for x, (name, kind) in zip(out, self.values.items(), strict=True):
-                x[first:last] = np.where(hit, self._map(f"{name}-{i}", kind)[at], 0)
+class Arrays:
+    """The joined files of one kind; range r is the one numbered r // SHARDS of file r % SHARDS."""
+
+    def __init__(self, folder: str, kind: str):
+        self.folder, self.kind, self.open = folder, kind, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": {}}
+
+    def _each(self, range_: np.ndarray):
+        for s in np.unique(range_ % SHARDS).tolist():
+            if s not in self.open:
+                self.open[s] = Shard(f"{self.folder}/{self.kind}.{s}")
+            at = np.flatnonzero(range_ % SHARDS == s)
+            yield self.open[s], at, range_[at] // SHARDS
+
+    def find(self, prefix: str, keys: np.ndarray, range_: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int64)
+        for shard, at, r in self._each(range_):
+            out[at] = shard.find(prefix, keys[at], r)
         return out
 
+    def values(self, prefix: str, place: np.ndarray, range_: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(place), width), np.int64)
+        for shard, at, r in self._each(range_):
+            out[at] = shard.values(prefix, place[at], r)
+        return out
 
-def _spans(r: np.ndarray):
-    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
-    return zip(first.tolist(), np.append(first[1:], len(r)).tolist() if len(r) else [], strict=True)
+
+def _prefixed(prefix: str, *arrays: dict) -> dict:
+    return {f"{prefix}{k}": v for a in arrays for k, v in a.items()}
+
+
+_NO_KEYS, _NO_COUNTS = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def _join(spark, folder: str, kind: str, ranges: int, none: dict) -> None:
+    """Join the files of all ranges of one kind, in tasks."""
+
+    def join(batches):
+        for batch in batches:
+            for s in batch.column("id").to_pylist():
+                join_files([f"{folder}/{kind}-{r}" for r in range(s, ranges, SHARDS)], f"{folder}/{kind}.{s}", none)
+            yield batch
+
+    spark.range(0, SHARDS, 1, SHARDS).mapInArrow(join, "id long").count()
+
+
+class Vocabulary:
+    """Numbers and counts of the words of a corpus."""
+
+    def __init__(self, folder: str, ranges: int, sizes: list[int]):
+        self.ranges, self.arrays = ranges, Arrays(folder, "word")
+        self.base = np.concatenate([[START + 1], START + 1 + np.cumsum(sizes)])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and count of each word, -1 and 0 where it is unknown."""
+        r = _range(hashes, self.ranges)
+        place = self.arrays.find("w", hashes, r)
+        return np.where(place >= 0, self.base[r] + place, -1), self.arrays.values("w", place, r, 1)[:, 0]
+
+    def at(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Range and place of words with these numbers."""
+        r = np.searchsorted(self.base, ids, side="right") - 1
+        return r, ids - self.base[r]
+
+
+def _count_words(docs: DataFrame, folder: str, ranges: int) -> tuple[Vocabulary, int]:
+    def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def send():
+            (h,), (n,) = _summed([np.concatenate([x for x, _ in held])], [np.concatenate([n for _, n in held])])
+            held.clear()
+            r = _range(h, ranges)
+            order = np.argsort(r, kind="stable")
+            cut = np.searchsorted(r[order], np.arange(ranges + 1))
+            rows = []
+            for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                if b > a:
+                    rows.append(("word", i, h[order[a:b]].tobytes(), packed([np.zeros(b - a, np.int64), n[order[a:b]]]), None))
+            return _table(rows).to_batches()
+
+        for batch in slices(batches, "text"):
+            held.append(np.unique(tokens(batch.column("text"))[0], return_counts=True))
+            if sum(len(x) for x, _ in held) > RUN:
+                yield from send()
+        if held:
+            yield from send()
+
+    def merge(group: pa.Table) -> pa.Table:
+        i = group.column("range")[0].as_py()
+        h = np.concatenate([np.frombuffer(x, "<u8") for x in group.column("keys").to_pylist()])
+        n = np.concatenate([unpacked(x)[1] for x in group.column("blob").to_pylist()])
+        (h,), (n,) = _summed([h], [n])
+        save(f"{folder}/word-{i}", _prefixed("w", keyed(h, wide=True), coded(n)))
+        return _table([("word", i, None, None, [len(n), int(n.sum())])])
+
+    found = docs.select("text").mapInArrow(count, _ROWS).groupBy("range").applyInArrow(merge, _ROWS)
+    seen = {r["range"]: r["sums"] for r in found.select("range", "sums").collect()}  # one row for each range
+    _join(docs.sparkSession, folder, "word", ranges, _prefixed("w", keyed(_NO_KEYS, wide=True), coded(_NO_COUNTS)))
+    sizes = [seen.get(i, [0, 0]) for i in range(ranges)]
+    return Vocabulary(folder, ranges, [k for k, _ in sizes]), sum(n for _, n in sizes)
 
 
 class Model:
     """A fitted model: where its arrays are, and a few totals."""
 
-    def __init__(self, folder: str, ranges: int, pairs: dict, words: dict, unigrams: dict):
-        self.folder, self.ranges = folder, ranges
-        self.pair_discount = discounts(*(pairs[f"n{k}"] for k in range(1, 5)))
-        self.word_discount = discounts(*(words[f"n{k}"] for k in range(1, 5)))
-        self.continuations, self.train_tokens, self.vocabulary = words["total"], unigrams["total"], unigrams["kinds"]
-        more = words["kinds"] - words["n1"] - words["n2"]
-        left = float(self.word_discount[1:] @ np.array([words["n1"], words["n2"], more]))
-        self.uniform = left / max(1, words["total"]) / (self.vocabulary + 1) if words["total"] else 1 / (self.vocabulary + 1)
-        self._arrays = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_arrays": None}
-
-    def arrays(self) -> tuple[Ranges, Ranges, Ranges, Ranges]:
-        if self._arrays is None:
-            f, r = self.folder, self.ranges
-            self._arrays = (
-                Ranges(f, r, "word", {"word-count": "<u4"}),
-                Ranges(f, r, "code", {"code-count": "<u4"}, "<u4"),
-                Ranges(f, r, "pair", {"pair-count": "<u4"}),
-                Ranges(f, r, "context", {"context-total": "<u4", "context-1": "<u4", "context-2": "<u4", "context-3": "<u4"}, "<u4"),
-            )
-        return self._arrays
+    def __init__(self, folder: str, ranges: int, words: Vocabulary, train_tokens: int, hot: int, sums: dict[str, list[int]]):
+        self.ranges, self.words, self.train_tokens, self.hot = ranges, words, train_tokens, hot
+        self.vocabulary = int(words.base[-1]) - 1
+        self.triples, self.pairs, self.singles = (Arrays(folder, k) for k in ("triple", "pair", "single"))
+        none = [0] * 6
+        three, two, one = (sums.get(k, none) for k in ("three", "two", "one"))
+        self.start = np.array(sums.get("start", [0] * 5), np.int64)
+        self.d3, self.d2, self.d1 = (discounts(*x[:4]) for x in (three, two, one))
+        self.continuations = one[5]
+        left = float(self.d1[1:] @ np.array([one[0], one[1], one[4] - one[0] - one[1]]))
+        self.uniform = (left / one[5] if one[5] else 1.0) / (self.vocabulary + 1)
 
     def log10(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's count in training and the log10 of its probability after the token before it."""
-        word, code, pair, context = self.arrays()
+        """Each token's count in training and the log10 of its probability after the two tokens before it."""
         w, back = np.unique(words, return_inverse=True)
-        (count,) = word.find(w)
-        codes, code_back = np.unique((w >> _HALF).astype(np.uint32), return_inverse=True)
-        (a,) = code.find(codes)
-        d = self.word_discount[np.minimum(a, 3)]
-        lower = (np.maximum(a - d, 0) / max(1, self.continuations) + self.uniform)[code_back]
-        # A word that training lacks is unknown, even if a known word has its code.
-        lower = np.where(count > 0, lower, self.uniform)[back]
-        keys = bigram_keys(words, bounds)
-        k, key_back = np.unique(keys, return_inverse=True)
-        (c,) = pair.find(k)
-        v, v_back = np.unique((k >> _HALF).astype(np.uint32), return_inverse=True)
-        total, n1, n2, n3 = (x[v_back] for x in context.find(v))
-        d = self.pair_discount
-        safe = np.maximum(total, 1)
-        upper = np.maximum(c - d[np.minimum(c, 3)], 0) / safe
-        rest = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / safe, 1.0)
-        count = count[back]
-        p = np.where(count > 0, upper[key_back], 0) + rest[key_back] * lower
-        return count, np.log10(p)
-
-
-def fit(docs: DataFrame) -> Model:
-    """Count the words and bigrams of all ``text`` values; a null text is a document without words."""
+        ids, counts = self.words.find(w)
+        frequent = np.append(counts > self.hot, True)  # the last stands for START
+        single = np.zeros((len(w) + 1, 5), np.int64)
+        known = np.flatnonzero(ids >= 0)
+        r, place = self.words.at(ids[known])
+        single[known] = self.singles.values("s", place, r, 5)
+        single[len(w)] = self.start
+        number = np.append(ids, START)
+        one, two = (np.where(x == -7, len(w), x) for x in _shifted(back, bounds))
+        p1 = np.where(ids >= 0, np.maximum(single[:-1, 0] - self.d1[np.minimum(single[:-1, 0], 3)], 0) / max(1, self.continuations) + self.uniform, self.uniform)[back]
+        # Pairs of neighbours, and the one of two STARTs, serve as bigrams and as contexts.
+        wide = np.int64(len(w) + 1)
+        pair, pair_back = np.unique(np.append(one * wide + back, wide * wide - 1), return_inverse=True)
+        a, b = pair // wide, pair % wide
+        some = np.flatnonzero((number[a] >= 0) & (number[b] >= 0))
+        key = np.zeros(len(pair), np.uint64)
+        key[some] = pair_key(number[a[some]], number[b[some]])
+        found = np.zeros((len(pair), 5), np.int64)
+        r = _range(key[some], self.ranges)
+        place = self.triples.find("c", key[some], r)
+        found[some, 1:] = self.triples.values("c", place, r, 4)
+        found[some, 0] = self.pairs.values("a", place, r, 1)[:, 0]
+        rest = some[place < 0]
+        r = _range(key[rest], self.ranges)
+        found[rest] = self.pairs.values("x", self.pairs.find("x", key[rest], r), r, 5)
+        p2 = _interpolated(found[pair_back[:-1], 0], single[one, 1:], self.d2, p1)
+        context = np.full(len(words), pair_back[-1])
+        later = np.ones(len(words), bool)
+        later[bounds[:-1]] = False
+        context[later] = pair_back[:-1][np.flatnonzero(later) - 1]
+        triple, triple_back = np.unique(context * wide + back, return_inverse=True)
+        c, x = triple // wide, triple % wide
+        seen = np.flatnonzero((found[c, 1] > 0) & (number[x] >= 0))
+        c, x = c[seen], x[seen]
+        k = triple_key(key[c], number[x])
+        r = _range(np.where(frequent[a[c]] & frequent[b[c]], k, key[c]), self.ranges)
+        count = np.zeros(len(triple), np.int64)
+        count[seen] = self.triples.values("t", self.triples.find("t", k, r), r, 1)[:, 0]
+        p3 = _interpolated(count[triple_back], found[context, 1:], self.d3, p2)
+        return counts[back], np.log10(p3)
+
+
+def _shifted(index: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one, two = before(index, bounds)
+    first = np.zeros(len(index), bool)
+    first[bounds[:-1]] = True
+    one = np.where(first, -7, one)
+    second = np.zeros(len(index), bool)
+    second[1:] = first[:-1]
+    return one, np.where(first | second, -7, two)
+
+
+def _interpolated(count: np.ndarray, context: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Discounted relative frequency in the context plus what the discounts leave for the lower order; that alone without the context."""
+    total = context[:, 0]
+    safe = np.maximum(total, 1)
+    left = context[:, 1:] @ d[1:] / safe
+    return np.where(total > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / safe + left * lower, lower)
+
+
+def fit(docs: DataFrame, hot: int = HOT) -> Model:
+    """Count the n-grams of all ``text`` values; a null text is a document without words. ``hot`` changes where counts meet, not the model."""
     spark = docs.sparkSession
+    docs = docs.select("text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(8, -(-total // RANGE_BYTES))
     folder = mounted_dir(spark, "language-model")
+    words, train_tokens = _count_words(docs, folder, ranges)
 
     def count(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def send():
-            words = np.concatenate([x[0] for x in held])
-            pairs = np.concatenate([x[1] for x in held])
+            a, b, c, n = (np.concatenate([x[i] for x in held]) for i in range(4))
             held.clear()
-            yield _runs("word", *counted(words), ranges)
-            yield _runs("pair", *counted(pairs), ranges)
-
+            # Numbers of this run's words take 21 bits, so a trigram is one number.
+            own = np.unique(np.concatenate([a, b, c]))
+            code = [np.searchsorted(own, x).astype(np.uint64) for x in (a, b, c)]
+            packed_, n_ = np.unique((code[0] << np.uint64(42)) | (code[1] << np.uint64(21)) | code[2], return_counts=True)
+            mask = np.uint64((1 << 21) - 1)
+            a_, b_, c_ = (own[((packed_ >> np.uint64(s)) & mask).astype(np.int64)] for s in (42, 21, 0))
+            frequent = own == START
+            frequent[code[2][n > hot].astype(np.int64)] = True
+            at = lambda s: ((packed_ >> np.uint64(s)) & mask).astype(np.int64)
+            spread = frequent[at(42)] & frequent[at(21)]
+            pair = pair_key(a_, b_)
+            r = _range(np.where(spread, triple_key(pair, c_), pair), ranges)
+            rows = []
+            for kind, some in (("triple", ~spread), ("spread", spread)):
+                rows += _dealt(kind, r[some], [x[some] for x in (a_, b_, c_, n_)])
+            return _table(rows).to_batches()
+
+        size = 0
         for batch in slices(batches, "text"):
-            words, bounds = tokens(batch.column("text"))
-            held.append((words, bigram_keys(words, bounds)))
-            if sum(len(x[0]) for x in held) > RUN:
-                yield from send()
+            h, bounds = tokens(batch.column("text"))
+            w, back = np.unique(h, return_inverse=True)
+            ids, n = words.find(w)
+            one, two = before(ids[back], bounds)
+            columns = two, one, ids[back], n[back]
+            for x in range(0, len(h), RUN):
+                part = tuple(c[x : x + RUN] for c in columns)
+                if held and size + len(part[0]) > RUN:
+                    yield from send()
+                    size = 0
+                held.append(part)
+                size += len(part[0])
         if held:
             yield from send()
 
-    def merge_pairs(group: pa.Table) -> pa.Table:
+    def merge_triples(group: pa.Table) -> pa.Table:
         i = group.column("range")[0].as_py()
-        keys, counts = _joined(group, "pair")
-        _save(folder, f"pair-{i}", keys)
-        _save(folder, f"pair-count-{i}", counts.astype("<u4"))
-        first = np.flatnonzero(np.concatenate([[True], (keys[1:] >> _HALF) != (keys[:-1] >> _HALF)]))
-        _save(folder, f"context-{i}", (keys[first] >> _HALF).astype("<u4"))
-        _save(folder, f"context-total-{i}", np.add.reduceat(counts, first).astype("<u4"))
-        for n in (1, 2, 3):
-            _save(folder, f"context-{n}-{i}", np.add.reduceat((np.minimum(counts, 3) == n).astype(np.int64), first).astype("<u4"))
-        codes, kinds = counted((keys & _LOW) << _HALF)
-        out = pa.Table.from_batches([_runs("code", codes, kinds, ranges)])
-        stats = [*_tally(counts), len(keys), int(counts.sum())]
-        # The totals ride on the first row.
-        for name, x in zip((f.split()[0] for f in _STATS.split(", ")), stats, strict=True):
-            out = out.append_column(name, pa.array([x] + [0] * (out.num_rows - 1), pa.int64()))
-        return out
+        (a, b, c), (n,) = _gathered(group, "triple", 3, 4)
+        (a2, b2, c2), (n2,) = _gathered(group, "spread", 3, 4)
+        context, sums = _by_context([a, b], n)
+        key = pair_key(*context)
+        order = np.argsort(key)
+        arrays = _prefixed("c", keyed(key[order]), coded(np.stack(sums, 1)[order]))
+        key = triple_key(pair_key(np.append(a, a2), np.append(b, b2)), np.append(c, c2))
+        order = np.argsort(key)
+        save(f"{folder}/triple-{i}", arrays | _prefixed("t", keyed(key[order]), coded(np.append(n, n2)[order])))
+        rows = [("three", i, None, None, _tally(np.append(n, n2)))]
+        context, sums = _by_context([a2, b2], n2)
+        rows += _dealt("context", _range(pair_key(*context), ranges), [*context, *sums])
+        low, (n,) = _summed([np.append(b, b2), np.append(c, c2)], [np.ones(len(c) + len(c2), np.int64)])
+        rows += _dealt("low", _range(pair_key(*low), ranges), [*low, n])
+        return _table(rows)
+
+    def passed(group: pa.Table, kinds: tuple) -> list[tuple]:
+        return [tuple(r[k] for k in _NAMES) for r in group.to_pylist() if r["kind"] in kinds]
 
-    def merge_words(group: pa.Table) -> pa.Table:
+    def merge_pairs(group: pa.Table) -> pa.Table:
         i = group.column("range")[0].as_py()
-        rows = []
-        for kind in ("word", "code"):
-            keys, counts = _joined(group, kind)
-            _save(folder, f"{kind}-{i}", keys if kind == "word" else (keys >> _HALF).astype("<u4"))
-            _save(folder, f"{kind}-count-{i}", counts.astype("<u4"))
-            rows.append([kind, *_tally(counts), len(keys), int(counts.sum())])
-        return pa.table([pa.array([r[j] for r in rows]) for j in range(7)], names=["kind", *(f.split()[0] for f in _STATS.split(", "))])
-
-    runs = materialize(docs.select("text").mapInArrow(count, _RUN_TYPE), "runs")
-    pairs = materialize(runs.filter("kind = 'pair'").groupBy("range").applyInArrow(merge_pairs, f"{_RUN_TYPE}, {_STATS}"), "pairs")
-    words = runs.filter("kind = 'word'").unionByName(pairs.select("kind", "range", "keys", "counts")).groupBy("range").applyInArrow(merge_words, f"kind string, {_STATS}")
-    sums = [F.coalesce(F.sum(f.split()[0]), F.lit(0)).alias(f.split()[0]) for f in _STATS.split(", ")]
-    pair_stats = pairs.agg(*sums).first().asDict()
-    stats = {r["kind"]: r.asDict() for r in words.groupBy("kind").agg(*sums).collect()}
-    none = dict.fromkeys(pair_stats, 0)
-    return Model(folder, ranges, pair_stats, stats.get("code", none), stats.get("word", none))
+        (a, b), (n,) = _gathered(group, "low", 2, 3)
+        (a2, b2), sums2 = _gathered(group, "context", 2, 6)
+        try:
+            arrays = load(f"{folder}/triple-{i}")
+        except FileNotFoundError:
+            arrays = _prefixed("c", keyed(_NO_KEYS), coded(np.zeros((0, 4), np.int64)))
+        key = pair_key(a, b)
+        place = places(arrays, "c", key)
+        own = np.zeros(len(arrays["ccode"]), np.int64)
+        own[place[place >= 0]] = n[place >= 0]
+        # Pairs that are no context in this range: those before no word, and those whose trigrams lie in several ranges.
+        out = place < 0
+        (x, y), rows5 = _summed([np.append(a[out], a2), np.append(b[out], b2)], [np.append(n[out], np.zeros(len(a2), np.int64)), *(np.append(np.zeros(int(out.sum()), np.int64), s) for s in sums2)])
+        other = pair_key(x, y)
+        order = np.argsort(other)
+        save(f"{folder}/pair-{i}", _prefixed("a", coded(own)) | _prefixed("x", keyed(other[order]), coded(np.stack(rows5, 1)[order])))
+        rows = [*passed(group, ("three",)), ("two", i, None, None, _tally(n))]
+        (first,), sums = _by_context([a], n)
+        rows += _dealt("first", words.at(first)[0], [first, *sums])
+        (last,), (k,) = _summed([b], [np.ones(len(b), np.int64)])
+        rows += _dealt("last", words.at(last)[0], [last, k])
+        return _table(rows)
+
+    def merge_singles(group: pa.Table) -> pa.Table:
+        j = group.column("range")[0].as_py()
+        rows = passed(group, ("three", "two"))
+        (first,), sums = _gathered(group, "first", 1, 5)
+        (last,), (k,) = _gathered(group, "last", 1, 2)
+        if j < 0:
+            return _table([*rows, ("start", j, None, None, [0, *(int(s.sum()) for s in sums), 0])])
+        if not len(first) and not len(last):
+            return _table(rows)
+        out = np.zeros((int(words.base[j + 1] - words.base[j]), 5), np.int64)
+        out[last - words.base[j], 0] = k
+        out[first - words.base[j], 1:] = np.stack(sums, 1)
+        save(f"{folder}/single-{j}", _prefixed("s", coded(out)))
+        return _table([*rows, ("one", j, None, None, _tally(k))])
+
+    rows = docs.mapInArrow(count, _ROWS)
+    for merge in (merge_triples, merge_pairs, merge_singles):
+        rows = rows.groupBy("range").applyInArrow(merge, _ROWS)
+    seen = rows.groupBy("kind").agg(*(F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(6))).collect()
+    sums = {r["kind"]: [int(r[f"s{i}"] or 0) for i in range(6)] for r in seen}
+    if "start" in sums:
+        sums["start"] = sums["start"][:5]
+    pair = _prefixed("a", coded(_NO_COUNTS)) | _prefixed("x", keyed(_NO_KEYS), coded(np.zeros((0, 5), np.int64)))
+    _join(spark, folder, "triple", ranges, _prefixed("c", keyed(_NO_KEYS), coded(np.zeros((0, 4), np.int64))) | _prefixed("t", keyed(_NO_KEYS), coded(_NO_COUNTS)))
+    _join(spark, folder, "pair", ranges, pair)
+    _join(spark, folder, "single", ranges, _prefixed("s", coded(np.zeros((0, 5), np.int64))))
+    return Model(folder, ranges, words, train_tokens, hot, sums)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -272,7 +440,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     base = np.log10(float(model.train_tokens + model.vocabulary + 1))
 
     def rate(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             words, bounds = tokens(batch.column("text"))
             count, p = model.log10(words, bounds)
             add = lambda x: np.add.reduceat(x, bounds[:-1])

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from causalith.llm import near_dedup, repeats
+from causalith.llm import language_model, near_dedup, repeats
 from causalith.llm.decontamination import contaminated
+from causalith.llm.hash_arrays import Shard, coded, join_files, keyed, packed, save, unpacked
 from causalith.llm.html_text import main_text
 from causalith.llm.language_model import discounts, fit, score
 from causalith.llm.media import decode_media, store_texts
@@ -311,33 +312,60 @@ def test_repeats_of_words(spark, none):
     assert remove_repeats(none, words=51).count() == 0
 
 
-def test_language_model(docs, none, texts):
+@pytest.mark.parametrize("hot", [5, 1 << 40])
+def test_language_model(docs, none, texts, hot, monkeypatch):
+    monkeypatch.setattr(language_model, "RUN", 2000)  # several runs, also of one text
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = [[*(t or "").translate(table).split(), "\0"] for t in texts]
+    words = [["\1", "\1", *(t or "").translate(table).split(), "\0"] for t in texts]
     words_in = [w for i, w in enumerate(words) if i % 3]
-    c1 = Counter(x for w in words_in for x in w)
-    c2 = Counter(p for w in words_in for p in zip(["\1", *w], w, strict=False))
-    before = Counter(b for _, b in c2)
-    d2 = discounts(*(sum(c == k for c in c2.values()) for k in (1, 2, 3, 4)))
-    d1 = discounts(*(sum(c == k for c in before.values()) for k in (1, 2, 3, 4)))
-    n, v, kinds = sum(c1.values()), len(c1), sum(before.values())
-    uniform = sum(d1[min(c, 3)] for c in before.values()) / kinds / (v + 1)
+    c1 = Counter(x for w in words_in for x in w[2:])
+    c3 = Counter(p for w in words_in for p in zip(w, w[1:], w[2:], strict=False))
+    c2 = Counter((b, c) for _, b, c in c3)
+    behind = Counter(c for _, c in c2)
+    d3, d2, d1 = (discounts(*(sum(c == k for c in x.values()) for k in (1, 2, 3, 4))) for x in (c3, c2, behind))
+    n, v, kinds = sum(c1.values()), len(c1), sum(behind.values())
+    uniform = sum(d1[min(c, 3)] for c in behind.values()) / kinds / (v + 1)
     context = defaultdict(lambda: [0, 0.0])
-    for (a, _), c in c2.items():
-        context[a][0] += c
-        context[a][1] += d2[min(c, 3)]
-
-    def p(a, b):
-        low = (max(before[b] - d1[min(before[b], 3)], 0) / kinds if b in before else 0) + uniform
-        total, held = context.get(a, (0, 0.0))
-        return (max(c2[a, b] - d2[min(c2[a, b], 3)], 0) + held * low) / total if total else low
-
-    got = {r["doc_id"]: r for r in score(docs, fit(docs.filter("doc_id % 3 <> 0"))).collect()}
+    for x, d in ((c3, d3), (c2, d2)):
+        for (*a, _), c in x.items():
+            context[tuple(a)][0] += c
+            context[tuple(a)][1] += d[min(c, 3)]
+
+    def p(a, b, c):
+        low = (max(behind[c] - d1[min(behind[c], 3)], 0) / kinds if c in behind else 0) + uniform
+        for have, d, gram in ((c2, d2, (b, c)), (c3, d3, (a, b, c))):
+            total, held = context.get(gram[:-1], (0, 0.0))
+            low = (max(have[gram] - d[min(have[gram], 3)], 0) + held * low) / total if total else low
+        return low
+
+    got = {r["doc_id"]: r for r in score(docs, fit(docs.filter("doc_id % 3 <> 0"), hot=hot)).collect()}
     for i, w in enumerate(words):
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in c1 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w))
-        assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["\1", *w], w, strict=False)))
-    assert score(none, fit(none)).count() == 0 and score(docs.limit(2), fit(none)).count() == 2
-    for a in ("w1", "\1"):
-        assert sum(p(a, b) for b in c1) + p(a, "?") == pytest.approx(1)
+        r, t = got[i], w[2:]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(x in c1 for x in t), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in t))
+        assert r["score"] == pytest.approx(sum(math.log10(p(*x)) for x in zip(w, w[1:], t, strict=False)))
+    for a in (("w1", "w2"), ("\1", "\1"), ("\1", "w3")):
+        assert sum(p(*a, b) for b in c1) + p(*a, "?") == pytest.approx(1)
+    if hot == 5:
+        assert score(none, fit(none)).count() == 0 and score(docs.limit(2), fit(none)).count() == 2
+
+
+def test_hash_arrays(tmp_path):
+    rng = np.random.default_rng(8)
+    parts = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in (5000, 1, 0, 37)]
+    rows = [np.stack([rng.integers(0, 400, len(k)), rng.integers(0, 2, len(k)) * (1 << 40)], 1) for k in parts]
+    for i, (k, v) in enumerate(zip(parts, rows, strict=True)):
+        for wide in (False, True):
+            if len(k):
+                save(f"{tmp_path}/{wide}-{i}", {f"q{x}": y for x, y in (keyed(k, wide) | coded(v)).items()})
+    for wide in (False, True):
+        empty = {f"q{x}": y for x, y in (keyed(parts[2], wide) | coded(rows[2])).items()}
+        join_files([f"{tmp_path}/{wide}-{i}" for i in range(4)], f"{tmp_path}/{wide}", empty)
+        shard = Shard(f"{tmp_path}/{wide}")
+        for i in (3, 0, 1, 2):
+            asked = np.concatenate([parts[i], parts[0] ^ np.uint64(1 << 40)])
+            place = shard.find("q", asked, np.full(len(asked), i))
+            assert place.tolist() == [*range(len(parts[i])), *[-1] * len(parts[0])]
+            assert (shard.values("q", place, np.full(len(asked), i))[: len(parts[i])] == rows[i]).all()
+    columns = [np.sort(rng.integers(0, 1 << 40, 300)), rng.integers(0, 9, 300), np.full(300, 1 << 62)]
+    assert all((a == b).all() for a, b in zip(columns, unpacked(packed(columns)), strict=True))
