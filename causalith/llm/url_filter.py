@@ -32,13 +32,12 @@ def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def url_tokens() -> F.Column:
-    """Distinct tokens of a URL's parts: host labels and the host's suffixes, words of the path, its place and ending, and names
-    and values of the query. Numbers are one token."""
+    """Distinct tokens of a URL's parts: the host's suffixes, words of the path, and names and values of the query. Numbers are one token."""
     labels = F.filter(F.split("host", r"\."), lambda x: x != "")
     last = F.size(labels)
-    suffix = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat(F.lit("s:"), F.array_join(F.slice(labels, i, 99), ".")))
+    suffix = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat(F.lit("s:"), F.array_join(F.slice(labels, i, F.greatest(last, F.lit(1))), ".")))
     word = lambda prefix, text, by: F.transform(F.filter(F.split(F.lower(text), by), lambda x: x != ""), lambda x: F.concat(F.lit(prefix), F.when(x.rlike(r"^[0-9]+$"), F.lit("0")).otherwise(x)))
-    return F.array_distinct(F.concat(F.transform(labels, lambda x: F.concat(F.lit("h:"), x)), F.when(last > 0, suffix).otherwise(F.array().cast("array<string>")), word("p:", F.col("path"), r"[/._-]+"), word("q:", F.col("rest"), r"[?&;#]+")))
+    return F.array_distinct(F.concat(F.when(last > 0, suffix).otherwise(F.array().cast("array<string>")), word("p:", F.col("path"), r"[/._-]+"), word("q:", F.col("rest"), r"[?&;#]+")))
 
 
 def listed_rule(rules=None) -> F.Column:
@@ -50,22 +49,25 @@ def listed_rule(rules=None) -> F.Column:
     return out
 
 
-def mine(labelled: DataFrame, support: float = 0.002, least: int = 40, confidence: float = 0.5) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.002, lift: float = 2.0, confidence: float = 0.0, z: float = 2.33) -> DataFrame:
     """Association rules from ``tokens`` (array) and ``bad`` (boolean): ``rule_id``, ``tokens``, ``confidence``, ``support``, ``lift``.
 
-    A rule's tokens and the mark occur together in at least the share ``support`` of the baskets and in ``least`` baskets, and
-    at least the share ``confidence`` of the baskets with the tokens have the mark. A rule goes if some of its tokens alone
-    are as sure. Baskets with null tokens or marks are left aside; without baskets there are no rules.
+    A rule's tokens and the mark occur together in at least the share ``support`` of the baskets, and in five. Its
+    confidence, the share of the baskets with the tokens that have the mark, is at least ``lift`` times that of all
+    baskets and at least ``confidence``, and higher than that of all also at the lower end of its confidence interval (Wilson's, ``z`` deviations). A rule goes if some of its
+    tokens alone are as sure. Baskets with null tokens or marks are left aside; without bad baskets there are no rules.
     """
     spark = labelled.sparkSession
-    baskets = labelled.filter("tokens is not null and bad is not null").select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
+    baskets = labelled.filter("tokens is not null and bad is not null").select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"), "bad")
     baskets = materialize(baskets.filter(F.size("items") > 0), "baskets")
-    n = baskets.count()
-    if not n:
+    n, bad = baskets.agg(F.count(F.lit(1)), F.sum(F.col("bad").cast("long"))).first()
+    if not bad:
         return spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double, lift double")
-    share = min(1.0, max(support, least / n))
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
-    found = model.associationRules.filter(F.element_at("consequent", 1) == BAD).filter(F.round(F.col("support") * n) >= least)
+    base = bad / n
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, 5 / n)), minConfidence=min(1.0, max(confidence, lift * base))).fit(baskets.select("items"))
+    c, m = F.col("confidence"), F.round(F.col("support") * n) / F.col("confidence")
+    lower = (c + z * z / (2 * m) - z * F.sqrt(c * (1 - c) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    found = model.associationRules.filter(F.element_at("consequent", 1) == BAD).filter(lower > base)
     found = materialize(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift"), "rules")
     # A rule's proper parts that are rules: by their own tokens among the rule's.
     part = found.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"), F.element_at("tokens", 1).alias("t"))
@@ -91,7 +93,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=None, **mining) -> DataFram
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``confidence`` and ``pattern`` of every page.
 
     A listed rule decides if one fits; else a page is blocked if a mined rule fits its url. Labels belong to the page whose
-    page_id is their doc_id; a page is bad if its quality is 0. Null urls have empty parts and no tokens, and are allowed.
+    page_id is their doc_id, as a reviewer's verdict on what is found at its url; a page is bad if its quality is 0. Null urls have empty parts and no tokens, and are allowed.
     Equal urls are judged alike; pages may repeat.
     """
     parts = with_parts(pages.select("page_id", "url"))
