@@ -246,12 +246,13 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, ancho
     return context[order], place[order]
 
 
-def halves(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, window: Window):
+def halves(hashes: RangeHash, starts: np.ndarray, m: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, window: Window):
     """Contexts of classes whose windows lie from ``low`` up to before ``high`` before their anchors, split in the middle of that range.
 
+    ``starts``: where each begins in the hashed units.
+
     Class, hash, source, first window's place in the source, number of windows, the anchor's place, and the new range, of each part.
     """
-    hashes = RangeHash(data)
     middle = (low + high) // 2
     out = []
     for a, b in ((low, middle), (middle, high)):
@@ -259,11 +260,11 @@ def halves(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, anchor: np.ndar
         last = np.minimum(anchor - a, m - 1)
         some = np.flatnonzero(last >= first)
         a, b, first, n = a[some], b[some], first[some], (last - first + 1)[some]
-        at = offsets[some] + anchor[some]
+        at = starts[some] + anchor[some]
         # What all windows of the range have in common.
         with np.errstate(over="ignore"):
             k = mix64(hashes(at - a, at + window.length - b + 1) ^ (a * 65536 + b).astype(np.uint64), 16)
-        h = mix64(hashes(offsets[some] + first, offsets[some] + first + n - 1 + window.length) ^ n.astype(np.uint64), 13)
+        h = mix64(hashes(starts[some] + first, starts[some] + first + n - 1 + window.length) ^ n.astype(np.uint64), 13)
         out.append((k, h, some, first, n, anchor[some] - first, a, b))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -283,10 +284,26 @@ _PARTS = "k long, h long, whole_k long, whole_h long, at int, m int, b int, low
 _NAMES = [f.split()[0] for f in _PARTS.split(", ")]
 
 
+def _promising(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, window: Window) -> np.ndarray:
+    """Contexts of which some part shares a core with another context's after five splits; the others have no window in common."""
+    hashes, owner, starts = RangeHash(data), np.arange(len(m)), offsets[:-1]
+    for _ in range(5):
+        k, _, some, first, m, b, low, high = halves(hashes, starts, m, b, low, high, window)
+        _, back, n = np.unique(k, return_inverse=True, return_counts=True)
+        stay = np.flatnonzero(n[back] > 1)
+        owner, starts = owner[some[stay]], (starts[some] + first)[stay]
+        m, b, low, high = m[stay], b[stay], low[stay], high[stay]
+    return np.unique(owner)
+
+
 def _settle(window: Window):
     def settle(group: pa.Table) -> pa.Table:
         data, offsets = window.stored(group.column("bytes"))
-        k, h, at, m, b = (np.asarray(group.column(c)).astype(np.int64) for c in ("whole_k", "whole_h", "at", "m", "b"))
+        k, h, at, m, b, low, high = (np.asarray(group.column(c)).astype(np.int64) for c in ("whole_k", "whole_h", "at", "m", "b", "low", "high"))
+        some = _promising(data, offsets, m, b, low, high, window)
+        size = np.diff(offsets)[some]
+        data, offsets = data[ragged(offsets[some], size)], np.concatenate([[0], np.cumsum(size)])
+        k, h, at, m, b = (x[some] for x in (k, h, at, m, b))
         c, first, last = _runs(*repeated_windows(data, offsets, m, b, window))
         return pa.table({"k": pa.array(k[c]), "h": pa.array(h[c]), "first": pa.array(at[c] + first, pa.int32()), "last": pa.array(at[c] + last, pa.int32())})
 
@@ -300,7 +317,7 @@ def _split(window: Window):
                 continue
             data, offsets = window.stored(batch.column("bytes"))
             m, b, low, high, at = (np.asarray(batch.column(c)).astype(np.int64) for c in ("m", "b", "low", "high", "at"))
-            k, h, some, first, n, anchor, a, z = halves(data, offsets, m, b, low, high, window)
+            k, h, some, first, n, anchor, a, z = halves(RangeHash(data), offsets[:-1], m, b, low, high, window)
             begin = offsets[some] + first
             raw = [data[x:y].tobytes() for x, y in zip(begin.tolist(), (begin + n + window.length - 1).tolist(), strict=True)]
             whole = [batch.column(c).take(pa.array(some)) for c in ("whole_k", "whole_h")]
