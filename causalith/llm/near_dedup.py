@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, slices, table, text_buffer
+from .common import materialize, mix64, release, slices, table, text_buffer
 from .components import components
 from .sketch import BAND, band_keys, bands_for, fingerprints, likelihood_similarity, registers, shingle_sets
 
@@ -179,6 +179,8 @@ def _confirmed(members: DataFrame, docs: DataFrame, width: int, percent: int) ->
         sets, bounds = shingle_sets(data, offsets, width)
         edges = linked(np.asarray(group.column("node")), np.asarray(group.column("cluster")), sets, bounds, percent)
         a, b = zip(*edges, strict=True) if edges else ((), ())
+        del data, sets
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("task").applyInArrow(confirm, "a long, b long")

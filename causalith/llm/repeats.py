@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, ragged, slices, table, text_buffer, word_hashes
+from .common import materialize, mix64, ragged, release, slices, table, text_buffer, word_hashes
 from .suffix_array import suffix_array
 
 
@@ -305,6 +305,8 @@ def _settle(window: Window):
         data, offsets = data[ragged(offsets[some], size)], np.concatenate([[0], np.cumsum(size)])
         k, h, at, m, b = (x[some] for x in (k, h, at, m, b))
         c, first, last = _runs(*repeated_windows(data, offsets, m, b, window))
+        del data
+        release()
         return pa.table({"k": pa.array(k[c]), "h": pa.array(h[c]), "first": pa.array(at[c] + first, pa.int32()), "last": pa.array(at[c] + last, pa.int32())})
 
     return settle
@@ -504,7 +506,7 @@ def remove_repeats(docs: DataFrame, words: int | None = None, marked: int | None
         if marked is not None:
             spans = spans.unionByName(repeated_spans(texts, Window(marked, words=True)))
     else:
-        few = texts.mapInArrow(_few_words(words), texts.schema)
+        few = materialize(texts.mapInArrow(_few_words(words), texts.schema), "few-words")
         spans = repeated_spans(texts, Window(words, words=True)).unionByName(repeated_spans(few, BYTES))
     spans = spans.groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
