@@ -281,7 +281,7 @@ def _open(m, a, b) -> bool:
     return m[a, b] in (CIRCLE, ARROW) and m[b, a] in (CIRCLE, TAIL)
 
 
-def _directed_path(m, adj, a, b, c, p, budget: int = 20_000) -> bool:
+def _directed_path(m, adj, a, b, c, p, budget: int = 100_000) -> bool:
     """An uncovered path a, b, ..., c that may be directed."""
     paths = [[a, b]]
     while paths and budget:
@@ -300,7 +300,7 @@ def _to(m, adj, a, first, end, p) -> bool:
     return first == end or _directed_path(m, adj, a, first, end, p)
 
 
-def _discriminates(m, adj, d, b, c, p, budget: int = 20_000) -> bool:
+def _discriminates(m, adj, d, b, c, p, budget: int = 100_000) -> bool:
     """Whether a path d, ..., b exists whose inner nodes are colliders on it and parents of c."""
     paths = [[b]]
     while paths and budget:

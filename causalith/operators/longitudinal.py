@@ -149,9 +149,9 @@ def do_msm_rmst(engine, relation, unit="", period="", treatment="", event="", co
     if look["odd"]:
         raise CausalError("event must be 0 or 1 in every row")
     if look["after"]:
-        raise CausalError("a unit has rows after its event")
+        raise CausalError("rows follow a unit's event; they must end with it")
     if look["gap"]:
-        raise CausalError("a unit lacks a period: every unit needs one row per period from the first until its event or its last observation")
+        raise CausalError("some unit has a gap: its rows must fill all periods from the first one on")
     if not look["events"]:
         raise CausalError("no unit has an event")
     last = F.col("later").isNull()

@@ -96,6 +96,8 @@ _add(
 for _e in ("aipw", "dml", "ipw", "regression"):
     _add(f"ate_{_e}", "do_ate", ORDERS, _EFFECT, **(ORDER_SPEC | {"estimator": _e, "bootstrap_reps": 100}))
 _add("ate_binary_outcome", "do_ate", ORDERS, _EFFECT, **LARGE_SPEC)
+for _k in ("att", "atc"):
+    _add(f"{_k}_naive", f"do_{_k}", ORDERS, _EFFECT, f"SELECT '{_k.upper()}' AS estimand, 'naive' AS estimator, {_NAIVE}, CAST(0 AS BIGINT) AS n_trimmed FROM ({ORDERS}) o", **(ORDER_SPEC | {"estimator": "naive"}))
 _add("att", "do_att", ORDERS, _EFFECT, **ORDER_SPEC)
 _add("atc", "do_atc", ORDERS, _EFFECT, **ORDER_SPEC)
 for _l in ("dr_learner", "s_learner", "t_learner", "x_learner"):
@@ -126,6 +128,13 @@ _BALANCE = f"""WITH o AS ({ORDERS}), m AS (SELECT avg(CASE WHEN urgent = 1 THEN
  SELECT 'c_acctbal' AS covariate, 'c_acctbal' AS feature, round((m1 - m0) / sqrt((v1 + v0) / 2), 6) AS smd_raw FROM m"""
 _add("balance", "do_balance", ORDERS, **ORDER_SPEC)
 _add("balance_raw", "do_balance", ORDERS, "covariate feature smd_raw", _BALANCE, 6, **(ORDER_SPEC | {"covariates": ["c_acctbal"]}))
+_add(
+    "balance_levels", "do_balance", ORDERS, "covariate feature smd_raw",
+    f"""WITH o AS ({ORDERS}), f AS (SELECT urgent, v.m, CASE WHEN o.c_mktsegment = v.m THEN 1.0 ELSE 0.0 END AS x FROM o, (SELECT DISTINCT c_mktsegment AS m FROM o) v WHERE v.m > (SELECT min(c_mktsegment) FROM o)),
+ s AS (SELECT m, avg(CASE WHEN urgent = 1 THEN x END) AS m1, avg(CASE WHEN urgent = 0 THEN x END) AS m0, var_pop(CASE WHEN urgent = 1 THEN x END) AS v1, var_pop(CASE WHEN urgent = 0 THEN x END) AS v0 FROM f GROUP BY m)
+ SELECT 'c_mktsegment' AS covariate, 'c_mktsegment=' || m AS feature, round((m1 - m0) / sqrt((v1 + v0) / 2), 6) AS smd_raw FROM s""",
+    6, **(ORDER_SPEC | {"covariates": ["c_mktsegment"]}),
+)
 _add("overlap", "do_overlap", ORDERS, **ORDER_SPEC)
 _add("diagnose", "do_diagnose", ORDERS, **ORDER_SPEC)
 for _m in ("placebo_treatment", "random_common_cause", "subset", "bootstrap", "unobserved_confounder"):
@@ -153,7 +162,7 @@ def identify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pricing(spark).do_validate("pricing", "urgent", "price", ["segment", "balance", "region"]).select("covariate", "role")
+    return _pricing(spark).do_validate("pricing", "urgent", "price", ["segment", "balance", "region"]).select("covariate", "role", "verdict")
 
 
 def graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +180,7 @@ def dseparated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"graphs": graphs, "dseparated": dseparated, "identify": identify, "validate": validate}
 ORACLE_SQL |= {
     "identify": "SELECT * FROM (VALUES ('backdoor', true, ['segment', 'balance']), ('frontdoor', false, CAST([] AS VARCHAR[])), ('iv', true, ['region'])) v(strategy, identifiable, adjustment_set)",
-    "validate": "SELECT * FROM (VALUES ('segment', 'confounder'), ('balance', 'confounder'), ('region', 'instrument')) v(covariate, role)",
+    "validate": "SELECT * FROM (VALUES ('segment', 'confounder', 'keep'), ('balance', 'confounder', 'keep'), ('region', 'instrument', 'DROP')) v(covariate, role, verdict)",
 }
 ORACLE_SQL |= {"graphs": "SELECT 'pricing' AS name, CAST(5 AS BIGINT) AS n_nodes, CAST(6 AS BIGINT) AS n_edges", "dseparated": "SELECT true AS given_all, true AS apart"}
 
@@ -182,6 +191,12 @@ _add(
     treatment="l_extendedprice", outcome="saved", instrument="d", covariates=[],
 )
 _add("iv_covariates", "do_iv", LINES, "estimand estimate std_error n first_stage_f weak_instrument", treatment="l_extendedprice", outcome="saved", instrument="d", covariates=["l_tax"])
+_RESIDUAL = f"""WITH l AS ({LINES}), b AS (SELECT regr_slope(d, l_tax) AS b, regr_intercept(d, l_tax) AS a FROM l), z AS (SELECT l.*, d - a - b * l_tax AS z FROM l, b)"""
+_add(
+    "iv_one_covariate", "do_iv", LINES, "estimand estimator estimate n",
+    f"{_RESIDUAL} SELECT 'LATE' AS estimand, '2sls' AS estimator, round(covar_samp(saved, z) / covar_samp(l_extendedprice, z), 4) AS estimate, count(*) AS n FROM z",
+    treatment="l_extendedprice", outcome="saved", instrument="d", covariates=["l_tax"],
+)
 _add(
     "frontdoor", "do_frontdoor", LINES, "estimand estimator estimate n effect_t_on_m effect_m_on_y",
     f"""WITH l AS (SELECT *, ended AS m FROM ({LINES}) x), a AS (SELECT avg(CASE WHEN t = 1 THEN m END) - avg(CASE WHEN t = 0 THEN m END) AS a, count(*) AS n FROM l),
