@@ -563,41 +563,88 @@ def _write_code(fields: Fields, stage: int, length: np.ndarray, single: np.ndarr
     first = np.flatnonzero(new)
     run = np.diff(np.append(first, len(flat)))
     zero = flat[first] == 0
-    # A run of zeros is at most 280 long: up to two of 138 and a rest.
+    # A run of zeros is stored as runs of up to 138 and a rest of up to 10.
+    pieces = size // 138 + 1
     value, width, owner, place = [], [], [], []
 
     def put(which, v, n, order):
         owner.append(image[first[which]])
-        place.append(first[which] * 8 + order)
+        place.append(first[which] * (pieces + 3) + order)
         value.append(np.broadcast_to(v, which.shape).astype(np.uint64))
         width.append(np.broadcast_to(n, which.shape))
 
     put(np.flatnonzero(~zero), _SMALL_WORDS[flat[first[~zero]]], 4, 0)
     z = np.flatnonzero(zero)
     rest = run[z].copy()
-    for k in range(3):
+    for k in range(pieces):
         go = rest >= 11
         n = np.minimum(rest[go], 138)
         put(z[go], _SMALL_WORDS[18] | ((n - 11) << 3), 10, k)
         rest[go] -= n
     go = rest >= 3
-    put(z[go], _SMALL_WORDS[17] | ((rest[go] - 3) << 4), 7, 4)
+    put(z[go], _SMALL_WORDS[17] | ((rest[go] - 3) << 4), 7, pieces)
     rest[go] = 0
     for k in range(2):
-        put(z[rest > k], _SMALL_WORDS[0], 4, 5 + k)
+        put(z[rest > k], _SMALL_WORDS[0], 4, pieces + 1 + k)
     place, owner, value, width = (np.concatenate(x) for x in (place, owner, value, width))
     order = np.argsort(place, kind="stable")
     fields.add(owner[order], stage, value[order], width[order])
 
 
-def encode_rgb(data: np.ndarray, height: np.ndarray, width: int) -> list[bytes]:
+#: Bits of the colour cache of images that gain by one.
+CACHE_BITS = 10
+
+
+def _slots(colour: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pixels in their images' colour caches, and whether each finds its colour there."""
+    slot = ((colour * CACHE_FACTOR) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+    key = image << CACHE_BITS | slot
+    order = np.argsort(key, kind="stable")
+    same = np.zeros(len(key), bool)
+    same[1:] = (key[order[1:]] == key[order[:-1]]) & (colour[order[1:]] == colour[order[:-1]])
+    hit = np.zeros(len(key), bool)
+    hit[order] = same
+    return slot, hit
+
+
+def _bits(symbol: np.ndarray, image: np.ndarray, images: int, size: int) -> np.ndarray:
+    """About how many bits each image's symbols take, with those of their code: 8 for each symbol that occurs."""
+    key, count = np.unique(image * size + symbol, return_counts=True)
+    owner, total = key // size, np.bincount(image, minlength=images)
+    return np.bincount(owner, 8 + count * -np.log2(count / total[owner]), images)
+
+
+def gains_by_cache(rgb: np.ndarray, image: np.ndarray, images: int) -> np.ndarray:
+    """Which images are smaller with a colour cache, judged by the entropies of their symbols."""
+    slot, hit = _slots(rgb[:, 0].astype(np.uint32) << 16 | rgb[:, 1].astype(np.uint32) << 8 | rgb[:, 2] | np.uint32(0xFF000000), image)
+    miss = ~hit
+    plain = sum(_bits(rgb[:, c].astype(np.int64), image, images, 256) for c in range(3))
+    cached = _bits(np.where(hit, 280 + slot, rgb[:, 1]), image, images, 280 + (1 << CACHE_BITS))
+    return plain > cached + sum(_bits(rgb[miss, c].astype(np.int64), image[miss], images, 256) for c in (0, 2))
+
+
+def encode_rgb(data: np.ndarray, height: np.ndarray, width: int, cache: bool | None = None) -> list[bytes]:
     """Lossless WebP files of images of one width, given as RGB bytes one after the other.
 
-    Runs of equal pixels become back-references to the pixel before; each image has prefix codes of its own.
+    Runs of equal pixels become back-references to the pixel before; each image has prefix codes of its own, and a colour
+    cache if it is smaller with one (or for all or none, if ``cache`` says so).
     """
+    height = np.asarray(height, np.int64)
+    pixels = height * width
+    rgb, image = data.reshape(-1, 3), np.repeat(np.arange(len(height)), pixels)
+    chosen = gains_by_cache(rgb, image, len(height)) if cache is None else np.full(len(height), cache)
+    out: list[bytes] = [b""] * len(height)
+    for cached in (False, True):
+        some = np.flatnonzero(chosen == cached)
+        if len(some):
+            for k, file in zip(some.tolist(), _encode(rgb[chosen[image] == cached], height[some], width, cached), strict=True):
+                out[k] = file
+    return out
+
+
+def _encode(rgb: np.ndarray, height: np.ndarray, width: int, cached: bool) -> list[bytes]:
     images = len(height)
-    pixels = np.asarray(height, np.int64) * width
-    rgb = data.reshape(-1, 3)
+    pixels = height * width
     image = np.repeat(np.arange(images), pixels)
     joined = rgb[:, 0].astype(np.uint32) << 16 | rgb[:, 1].astype(np.uint32) << 8 | rgb[:, 2]
     begin = np.ones(len(joined), bool)
@@ -624,13 +671,19 @@ def encode_rgb(data: np.ndarray, height: np.ndarray, width: int) -> list[bytes]:
     owner, copy_owner = image[at], image[copy_at]
     fields = Fields()
     every = np.arange(images)
-    # No transform, no colour cache, no meta prefix codes.
-    fields.add(every, 0, 0, 3)
+    # No transform; no or a colour cache; no meta prefix codes.
+    fields.add(every, 0, 0b10 | CACHE_BITS << 2 if cached else 0, 7 if cached else 3)
+    # Copied pixels have the colour of the one before, so they leave the cache as it is.
+    greens = 280 + (1 << CACHE_BITS if cached else 0)
+    slot, hit = _slots(joined[at] | np.uint32(0xFF000000), owner) if cached else (0, np.zeros(len(at), bool))
+    miss = ~hit
+    green = np.where(hit, 280 + slot, rgb[at, 1].astype(np.int64))
     words, lengths = [], []
-    for stage, (channel, size) in enumerate(((1, 280), (0, 256), (2, 256)), 1):
-        counts = np.bincount(owner * size + rgb[at, channel], minlength=images * size)
+    for stage, (channel, size) in enumerate(((1, greens), (0, 256), (2, 256)), 1):
         if channel == 1:
-            counts = counts + np.bincount(copy_owner * size + 256 + prefix, minlength=images * size)
+            counts = np.bincount(np.concatenate([owner * size + green, copy_owner * size + 256 + prefix]), minlength=images * size)
+        else:
+            counts = np.bincount(owner[miss] * size + rgb[at[miss], channel], minlength=images * size)
         counts = counts.reshape(images, size)
         used = (counts > 0).sum(1)
         single = np.where(used == 1, counts.argmax(1), -1)
@@ -643,10 +696,10 @@ def encode_rgb(data: np.ndarray, height: np.ndarray, width: int) -> list[bytes]:
     # Alpha is 255; the distance's prefix 1 is the code 2, the pixel to the left.
     fields.add(every, 4, 0b101 | (255 << 3), 11)
     fields.add(every, 5, 0b0001 | (1 << 3), 4)
-    g, r, b = owner * 280 + rgb[at, 1], owner * 256 + rgb[at, 0], owner * 256 + rgb[at, 2]
-    lg, lr, lb = lengths[0][g], lengths[1][r], lengths[2][b]
-    v = words[0][g] | words[1][r] << lg | words[2][b] << (lg + lr)
-    c = copy_owner * 280 + 256 + prefix
+    g, r, b = owner * greens + green, owner * 256 + rgb[at, 0], owner * 256 + rgb[at, 2]
+    lg, lr, lb = lengths[0][g], lengths[1][r] * miss, lengths[2][b] * miss
+    v = words[0][g] | (words[1][r] << lg | words[2][b] << (lg + lr)) * miss
+    c = copy_owner * greens + 256 + prefix
     # Pixels and copies in the order of their places.
     place = np.concatenate([at, copy_at])
     order = np.argsort(place, kind="stable") if len(copy_at) else slice(None)
