@@ -17,6 +17,9 @@ from ..plans.storage import stored
 from ..sources.relation import resolve
 from .identification import _spread
 
+#: The most periods of a panel; their list is held by the driver and by each task.
+_PERIODS = 10_000
+
 
 class Panel:
     """Rows ``unit, p`` (number of the period), ``y, first`` (period of adoption, null for never) and covariates ``x0..``."""
@@ -28,9 +31,11 @@ class Panel:
         unit, period, t, y = (column(df, c) for c in (unit, period, spec.treatment, spec.outcome))
         base = df.select(F.col(f"`{unit}`").cast("string").alias("unit"), F.col(f"`{period}`").alias("period"), (as_double(df, t) if not isinstance(df.schema[t].dataType, T.StringType) else F.col(f"`{t}`").cast("boolean").cast("double")).alias("d"), as_double(df, y).alias("y"), *(as_double(df, column(df, c)).alias(f"c{i}") for i, c in enumerate(spec.covariates or [])))
         base = base.filter("unit is not null and period is not null and y is not null")
-        periods = [r[0] for r in base.select("period").distinct().orderBy("period").collect()]
+        periods = [r[0] for r in base.select("period").distinct().orderBy("period").limit(_PERIODS + 1).collect()]
         if len(periods) < 2:
             raise CausalError("the panel needs at least two periods")
+        if len(periods) > _PERIODS:
+            raise CausalError(f'"{period}" has more than {_PERIODS} values: use coarser periods')
         self.periods = periods
         index = engine.spark.createDataFrame([(p, i) for i, p in enumerate(periods)], T.StructType([base.schema["period"], T.StructField("p", T.IntegerType())]))
         rows = base.join(F.broadcast(index), "period")  # one row for each period
@@ -256,68 +261,78 @@ _DONORS, _PLACEBOS = 5000, 100
 
 
 def _synthetic(engine, relation, unit, period, given):
+    """The panel, the number of donors, and a row for each treated unit with its fit and the placebos' ratios for its period.
+
+    Treated units stay in Spark; only the donors' series, at most ``_DONORS``, come to the driver and go to each task.
+    """
     spec = Spec.of(engine.config, **given)
     if spec.covariates:
         raise CausalError("synthetic control takes no covariates")
     panel = Panel(engine, relation, unit, period, spec, covariates=False)
     n = len(panel.periods)
-    series = panel.rows.groupBy("unit").agg(F.first("first").alias("first"), F.sort_array(F.collect_list(F.struct("p", "y"))).alias("v")).filter(F.size("v") == n)
-    donors = series.filter("first is null").orderBy("unit").limit(_DONORS + 1).collect()
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("p", "y"))), lambda v: v["y"]).alias("y")
+    series = panel.rows.groupBy("unit").agg(F.first("first").alias("g"), lines).filter(F.size("y") == n)
+    donors = series.filter("g is null").orderBy("unit").limit(_DONORS + 1).collect()
     if len(donors) > _DONORS:
         raise CausalError(f"more than {_DONORS} donors: narrow the relation to comparable units")
-    treated = series.filter("first >= 2").orderBy("unit").collect()
+    treated = series.filter("g >= 2").select("unit", "g", F.lit(None).cast("int").alias("j"), "y")
     if len(donors) < 2:
         raise CausalError("synthetic control needs at least two complete units that are never treated: no donors")
-    if not treated:
+    starts = [r[0] for r in treated.select("g").distinct().orderBy("g").collect()]  # at most one a period
+    if not starts:
         raise CausalError("no complete unit starts treatment in the third period or later")
-    line = lambda r: np.array([x["y"] for x in r["v"]])
-    pool = np.stack([line(r) for r in donors], 1)
     names = [r["unit"] for r in donors]
-    shared = engine.spark.sparkContext.broadcast(pool)  # at most _DONORS series
+    shared = engine.spark.sparkContext.broadcast((names, np.stack([r["y"] for r in donors], 1)))  # at most _DONORS series
     order = np.argsort(uniform(np.arange(len(names)), spec.seed, 31))[:_PLACEBOS]
-    jobs = [(r["unit"], int(r["first"]), None, line(r).tolist()) for r in treated] + [(names[j], g, int(j), pool[:, j].tolist()) for g in sorted({int(r["first"]) for r in treated}) for j in order]
+    placebos = engine.table([(names[j], g, int(j), None) for g in starts for j in order], "unit string, g int, j int, y array<double>")
 
     def fit(batches):
+        names, pool = shared.value
         for pdf in batches:
             rows = []
             for u, g, j, y in zip(pdf["unit"], pdf["g"], pdf["j"], pdf["y"], strict=True):
-                x, y = shared.value, np.array(y)
-                keep = np.arange(x.shape[1]) != (-1 if j is None or np.isnan(j) else int(j))
-                g = int(g)
-                w = np.zeros(x.shape[1])
-                w[keep] = simplex_weights(x[:g, keep], y[:g])
-                gap = y - x @ w
+                own, g = pd.isna(j), int(g)
+                y = np.array(y) if own else pool[:, int(j)]
+                keep = np.arange(pool.shape[1]) != (-1 if own else int(j))
+                w = np.zeros(pool.shape[1])
+                w[keep] = simplex_weights(pool[:g, keep], y[:g])
+                gap = y - pool @ w
                 pre, post = np.sqrt(np.mean(gap[:g] ** 2)), np.sqrt(np.mean(gap[g:] ** 2))
-                rows.append((u, g, j, w.tolist(), pre, post, gap[g:].mean(), (y - gap).tolist()))
-            yield pd.DataFrame(rows, columns=["unit", "g", "j", "w", "pre", "post", "effect", "synthetic"])
+                used = [k for k in np.argsort(-w, kind="stable").tolist() if own and w[k] > 1e-4]
+                rows.append((u, g, bool(own), [names[k] for k in used], w[used].tolist(), pre, post, post / max(pre, 1e-12), gap[g:].mean(), y.tolist() if own else [], (y - gap).tolist() if own else []))
+            yield pd.DataFrame(rows, columns=["unit", "g", "own", "donors", "w", "pre", "post", "ratio", "effect", "actual", "synthetic"])
+
+    tasks = max(64, int(engine.spark.conf.get("spark.sql.shuffle.partitions")))
+    todo = treated.unionByName(placebos).repartition(tasks, "unit", "g", "j")
+    fitted = "unit string, g int, own boolean, donors array<string>, w array<double>, pre double, post double, ratio double, effect double, actual array<double>, synthetic array<double>"
+    done = stored(todo.mapInPandas(fit, fitted), "synth")
+    others = done.filter("not own").groupBy("g").agg(F.collect_list("ratio").alias("others"))  # at most _PLACEBOS a period
+    return panel, len(names), done.filter("own").join(F.broadcast(others), "g", "left")
+
 
-    todo = engine.table([(u, g, j, y) for u, g, j, y in jobs], "unit string, g int, j int, y array<double>").repartition(min(len(jobs), 64))
-    done = todo.mapInPandas(fit, "unit string, g int, j double, w array<double>, pre double, post double, effect double, synthetic array<double>").collect()
-    ratio = lambda r: r["post"] / max(r["pre"], 1e-12)
-    placebo = {}
-    for r in done:
-        if r["j"] is not None and not np.isnan(r["j"]):
-            placebo.setdefault(r["g"], []).append(ratio(r))
-    lines = {r["unit"]: line(r) for r in treated}
-    own = sorted((r for r in done if r["j"] is None or np.isnan(r["j"])), key=lambda r: r["unit"])
-    return panel, names, own, placebo, ratio, lines
+def _labels(panel):
+    return F.array(*(F.lit(str(p)) for p in panel.periods))
 
 
 def do_synth(engine, relation, unit: str = "", period: str = "", **given):
     """A synthetic control for each treated unit, judged against placebos."""
-    panel, names, own, placebo, ratio, _ = _synthetic(engine, relation, unit, period, given)
-    n, out = len(panel.periods), []
-    for r in own:
-        others = placebo.get(r["g"], [])
-        p = (1 + sum(x >= ratio(r) for x in others)) / (1 + len(others))
-        w = {names[j]: float(v) for j, v in sorted(enumerate(r["w"]), key=lambda x: -x[1]) if v > 1e-4}
-        warnings = ["fewer than 20 placebos: the p value is coarse"] if len(others) < 20 else []
-        out.append((r["unit"], str(panel.periods[r["g"]]), "ATT", "synthetic control", r["effect"], r["pre"], r["post"], ratio(r), p, len(names), r["g"], n - r["g"], w, warnings))
-    return engine.table(out, "unit string, adoption_period string, estimand string, estimator string, estimate double, pre_rmspe double, post_rmspe double, rmspe_ratio double, p_value double, n_donors long, n_pre_periods long, n_post_periods long, weights map<string,double>, warnings array<string>")
+    panel, donors, own = _synthetic(engine, relation, unit, period, given)
+    others = F.coalesce("others", F.array().cast("array<double>"))
+    few = F.array(F.lit("fewer than 20 placebos: the p value is coarse"))
+    return own.orderBy("unit").select(
+        "unit", _labels(panel)[F.col("g")].alias("adoption_period"), F.lit("ATT").alias("estimand"), F.lit("synthetic control").alias("estimator"),
+        F.col("effect").alias("estimate"), F.col("pre").alias("pre_rmspe"), F.col("post").alias("post_rmspe"), F.col("ratio").alias("rmspe_ratio"),
+        ((F.size(F.filter(others, lambda x: x >= F.col("ratio"))) + 1) / (F.size(others) + 1)).alias("p_value"),
+        F.lit(donors).cast("long").alias("n_donors"), F.col("g").cast("long").alias("n_pre_periods"), (F.lit(len(panel.periods)) - F.col("g")).cast("long").alias("n_post_periods"),
+        F.map_from_arrays("donors", "w").alias("weights"), F.when(F.size(others) < 20, few).otherwise(F.array().cast("array<string>")).alias("warnings"),
+    )
 
 
 def do_synth_path(engine, relation, unit: str = "", period: str = "", **given):
     """Actual and synthetic outcomes of each treated unit by period."""
-    panel, _, own, _, _, lines = _synthetic(engine, relation, unit, period, given)
-    out = [(r["unit"], str(panel.periods[t]), t - r["g"], float(lines[r["unit"]][t]), r["synthetic"][t], float(lines[r["unit"]][t] - r["synthetic"][t]), t < r["g"]) for r in own for t in range(len(panel.periods))]
-    return engine.table(out, "unit string, period string, relative_period long, actual double, synthetic double, gap double, is_pre_treatment boolean")
+    panel, _, own = _synthetic(engine, relation, unit, period, given)
+    steps = own.select("unit", "g", F.posexplode(F.arrays_zip("actual", "synthetic")).alias("t", "v")).orderBy("unit", "t")
+    return steps.select(
+        "unit", _labels(panel)[F.col("t")].alias("period"), (F.col("t") - F.col("g")).cast("long").alias("relative_period"), F.col("v.actual").alias("actual"),
+        F.col("v.synthetic").alias("synthetic"), (F.col("v.actual") - F.col("v.synthetic")).alias("gap"), (F.col("t") < F.col("g")).alias("is_pre_treatment"),
+    )
