@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +62,8 @@ def do_msm(engine, relation, unit="", period="", treatment="", outcome="", covar
         raise CausalError(f'unknown model "{model}"; use cumulative, by_period or saturated')
     rows, periods, n_units, names = _load(engine, relation, unit, period, treatment, outcome, covariates)
     n, warnings = len(periods), []
+    if model == "saturated" and n > 6:
+        raise CausalError("the saturated model is for at most 6 periods")
     lower = [c.lower() for c in names]
     for b in baseline or []:
         if b.lower() not in lower:
@@ -72,9 +77,8 @@ def do_msm(engine, relation, unit="", period="", treatment="", outcome="", covar
     (bd,) = fit_logistic(data, den, [model_of], ridge=penalty(total), steps=60, least=0.0)
     (bn,) = fit_logistic(data, num, [model_of], ridge=penalty(total), steps=60, least=0.0)
     rated = data.append(lambda c: [_likelihood(c, num(c), bn) / np.maximum(_likelihood(c, den(c), bd), 1e-6)], ["ratio"]).df
-    history = F.sum(F.when(F.col("a") == 1, F.pow(F.lit(2.0), F.col("p"))).otherwise(0.0))
-    wide = [F.max(F.when(F.col("p") == k, F.col("a"))).alias(f"a{k}") for k in range(n)] if model == "by_period" else []
-    units = rated.groupBy("unit").agg(F.product("ratio").alias("w"), F.sum("a").alias("total"), F.count(F.lit(1)).alias("seen"), F.max_by("y", F.when(F.col("y").isNotNull(), F.col("p"))).alias("y"), history.alias("code"), *wide).filter("y is not null")
+    wide = [F.max(F.when(F.col("p") == k, F.col("a"))).alias(f"a{k}") for k in range(n)] if model != "cumulative" else []
+    units = rated.groupBy("unit").agg(F.product("ratio").alias("w"), F.sum("a").alias("total"), F.max_by("y", F.when(F.col("y").isNotNull(), F.col("p"))).alias("y"), *wide).filter("y is not null")
     units = stored(units, "units")
     kept = units.count()
     if kept < n_units:
@@ -83,7 +87,7 @@ def do_msm(engine, relation, unit="", period="", treatment="", outcome="", covar
     if truncate and truncate > 0:
         low, high = order_statistics(units, w, [int(truncate * (kept - 1)), int((1 - truncate) * (kept - 1))])
         units = units.withColumn("w", F.greatest(F.lit(low), F.least(w, F.lit(high))))
-    s = units.agg(F.avg("w").alias("mean"), F.max("w").alias("max"), F.sum("w").alias("w"), F.sum(w * w).alias("ww"), F.sum((F.col("seen") < n).cast("long")).alias("short")).first()
+    s = units.agg(F.avg("w").alias("mean"), F.max("w").alias("max"), F.sum("w").alias("w"), F.sum(w * w).alias("ww")).first()
     tail = (kept, n, s["mean"], s["max"], s["w"] ** 2 / s["ww"])
     if s["max"] > 20:
         warnings.append(f"the largest weight is {s['max']:.1f}: consider truncate")
@@ -104,32 +108,35 @@ def do_msm(engine, relation, unit="", period="", treatment="", outcome="", covar
         b, v = fit(lambda c: c["total"][:, None])
         say("effect per treated period", b[1], v[1, 1])
         return engine.table(out, MSM)
-    if s["short"]:
-        raise CausalError(f"{s['short']} units lack a period: the model {model} needs all periods of every unit")
+    # A period that a unit lacks has no treatment: it gets a mark or a history of its own, so that no contrast rests on it.
+    unseen = [F.col(f"a{k}").isNull() for k in range(n)]
+    look = units.agg(*(f(f"a{k}").alias(f"{n_}{k}") for k in range(n) for n_, f in (("l", F.min), ("h", F.max))), *(F.sum(u.cast("long")).alias(f"u{k}") for k, u in enumerate(unseen)), F.sum(reduce(or_, unseen).cast("long")).alias("short")).first()
+    if look["short"]:
+        warnings.append(f"{look['short']} units lack a period: no treatment is assumed there")
     if model == "by_period":
-        look = units.agg(*(f(f"a{k}").alias(f"{n_}{k}") for k in range(n) for n_, f in (("l", F.min), ("h", F.max)))).first()
         for k in range(n):
             if look[f"l{k}"] == look[f"h{k}"]:
                 raise CausalError(f"the treatment does not vary in period {periods[k]}")
-        b, v = fit(lambda c: np.stack([c[f"a{k}"] for k in range(n)], 1))
+        partly = [k for k in range(n) if look[f"u{k}"]]
+        b, v = fit(lambda c: np.stack([*(np.nan_to_num(c[f"a{k}"]) for k in range(n)), *(np.isnan(c[f"a{k}"]).astype(float) for k in partly)], 1))
         for k in range(n):
             say(f"treated in period {periods[k]}", b[k + 1], v[k + 1, k + 1])
-        say("always vs never treated", b[1:].sum(), v[1:, 1:].sum())
+        say("always vs never treated", b[1 : n + 1].sum(), v[1 : n + 1, 1 : n + 1].sum())
         return engine.table(out, MSM)
-    if n > 6:
-        raise CausalError("the saturated model is for at most 6 periods")
-    counts = {int(r[0]): r[1] for r in units.groupBy("code").count().collect()}
+    code = sum((F.coalesce(F.col(f"a{k}") * 2**k, F.lit(float(2 ** (n + k)))) for k in range(n)), F.lit(0.0))
+    flat = SparkRows(units.withColumn("code", code), 0).keep()
+    counts = {int(r[0]): r[1] for r in flat.df.groupBy("code").count().collect()}
     if not counts.get(0):
         raise CausalError("no unit is never treated")
     codes = sorted(k for k in counts if k)
-    missing = 2**n - len(counts)
+    missing = 2**n - sum(k < 2**n for k in counts)
     if missing:
         warnings.append(f"{missing} histories do not occur")
     if any(counts[k] < 10 for k in codes):
         warnings.append("some histories have fewer than 10 units")
     b, v = fit(lambda c: np.stack([(c["code"] == k).astype(float) for k in codes], 1))
     for i, k in enumerate(codes):
-        say("".join("1" if k >> t & 1 else "0" for t in range(n)) + " vs never", b[i + 1], v[i + 1, i + 1])
+        say("".join("?" if k >> n + t & 1 else "1" if k >> t & 1 else "0" for t in range(n)) + " vs never", b[i + 1], v[i + 1, i + 1])
     return engine.table(out, MSM)
 
 
