@@ -17,23 +17,39 @@ def combined(key: np.ndarray, number: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def uniform(key: np.ndarray, seed: int, draw: int = 0) -> np.ndarray:
-    """Uniform on (0, 1) for each key."""
+def _mixed(key: np.ndarray, seed: int, draw: int) -> np.ndarray:
+    """64 random bits for each key."""
     with np.errstate(over="ignore"):
         x = key.astype(np.int64).view(np.uint64) + np.uint64((_GAMMA * (seed * 1_000_003 + draw + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(_A)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(_B)
-        x = x ^ (x >> np.uint64(31))
+        for shift, factor in ((30, _A), (27, _B)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return x
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 
-#: Cumulative probabilities of a Poisson count with mean 1.
+def uniform(key: np.ndarray, seed: int, draw: int = 0) -> np.ndarray:
+    """Uniform on (0, 1) for each key."""
+    return _unit(_mixed(key, seed, draw))
+
+
+#: Cumulative probabilities of a Poisson count with mean 1, and the counts by a draw's first 16 bits, NaN where those leave two.
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod([1, *range(1, 12)]))
+_COUNTS = np.searchsorted(_POISSON, np.arange(1 << 16) / (1 << 16), side="right").astype(float)
+_COUNTS[_COUNTS != np.searchsorted(_POISSON, np.arange(1, (1 << 16) + 1) / (1 << 16), side="right")] = np.nan
 
 
 def poisson(key: np.ndarray, seed: int, draw: int) -> np.ndarray:
     """How often a bootstrap sample holds each key: independent Poisson counts with mean 1."""
-    return np.searchsorted(_POISSON, uniform(key, seed, draw), side="right").astype(float)
+    x = _mixed(key, seed, draw)
+    out = _COUNTS[(x >> np.uint64(48)).view(np.int64)]
+    rest = np.flatnonzero(np.isnan(out))
+    out[rest] = np.searchsorted(_POISSON, _unit(x[rest]), side="right")
+    return out
 
 
 def normal(key: np.ndarray, seed: int, draw: int) -> np.ndarray:

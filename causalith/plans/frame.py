@@ -8,8 +8,10 @@ columns, one at the features; the rows themselves stay where they are.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,19 +125,22 @@ def as_double(df: DataFrame, name: str):
 
 
 def order_statistics(df: DataFrame, value, places: list[int]) -> list[float]:
-    """Values at places (from 0) of the sorted non-null values: a distributed sort, then one row for each place."""
+    """Values at places (from 0) of the sorted non-null values: a distributed sort of the distinct ones with their counts, then one row for each place."""
     from ..plans.storage import stored
 
-    ordered = stored(df.select(value.alias("v")).filter("v is not null").orderBy("v").select("v", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "ordered")
-    counts = sorted((r[0], r[1], r[2]) for r in ordered.groupBy("p").agg(F.count(F.lit(1)), F.min("m")).collect())
-    wanted, before = {}, 0
-    for p, n, first in counts:
-        for k in places:
-            if before <= k < before + n:
-                wanted[k] = first + k - before
+    counts = df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ordered = stored(counts.orderBy("v").select("v", "n", F.spark_partition_id().alias("p")), "ordered")
+    before, inside = 0, {}
+    for p, n in sorted((r[0], r[1]) for r in ordered.groupBy("p").agg(F.sum("n")).collect()):
+        inside |= {k: (p, k - before) for k in places if before <= k < before + n}
         before += n
-    found = {r["m"]: r["v"] for r in ordered.filter(F.col("m").isin(list(set(wanted.values())))).collect()} if wanted else {}
-    return [found[wanted[k]] for k in places]
+    # Only stretches that hold a place are gone through, each value by value.
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    run = ordered.filter(F.col("p").isin(sorted({p for p, _ in inside.values()}))).select("p", "v", "n", upto.alias("upto"))
+    wanted = [(F.col("p") == p) & (F.col("upto") - F.col("n") <= k) & (F.col("upto") > k) for p, k in sorted(set(inside.values()))]
+    found = [(r["p"], r["upto"] - r["n"], r["upto"], r["v"]) for r in run.filter(reduce(or_, wanted)).collect()] if wanted else []
+    at = lambda p, k: next(v for q, low, high, v in found if q == p and low <= k < high)
+    return [at(*inside[k]) for k in places]
 
 
 def levels_of(df: DataFrame, name: str, most: int) -> list:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,7 +18,7 @@ def numbered(df: DataFrame, key: str = "_key") -> DataFrame:
     """``df`` with ``key``, a hash of a row's content, replaced by a hash of it and the row's number among equal rows.
 
     Equal rows are exchangeable, so it does not matter which of them has which number. Rows are numbered inside their
-    partition; where a content lies in several partitions, the counts of the partitions before are added. No partition
+    partition, sorted there so that a task remembers one key only; where a content lies in several partitions, the counts of the partitions before are added. No partition
     of a shuffle holds more than one count for each partition of ``df``. ``df`` should be persisted: it is read twice.
     """
     place = F.spark_partition_id()
@@ -32,19 +30,19 @@ def numbered(df: DataFrame, key: str = "_key") -> DataFrame:
         return df.withColumn(key, F.xxhash64(key, F.lit(0).cast("long")))
 
     def number(batches):
-        seen: dict[int, int] = {}
+        last, after = None, 0  # the key of the row before, and the number after its
         for batch in batches:
             keys = np.asarray(batch.column(key))
-            found, back, n = np.unique(keys, return_inverse=True, return_counts=True)
-            names = found.tolist()
-            base = np.fromiter(map(seen.get, names, repeat(0)), np.int64, len(names))
-            seen.update(zip(names, (base + n).tolist(), strict=True))
-            order = np.argsort(back, kind="stable")
-            rank = np.empty(len(keys), np.int64)
-            rank[order] = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank + base[back])], [*batch.schema.names, "_o"])
-
-    made = df.withColumn("_p", place)
+            if not len(keys):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            rank = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+            if keys[0] == last:
+                rank[: first[1] if len(first) > 1 else len(keys)] += after
+            last, after = keys[-1], rank[-1] + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], [*batch.schema.names, "_o"])
+
+    made = df.withColumn("_p", place).sortWithinPartitions(key)
     made = made.mapInArrow(number, T.StructType([*made.schema.fields, T.StructField("_o", T.LongType())]))
     made = made.join(offsets.withColumnRenamed("_k", key), [key, "_p"], "left")
     return made.withColumn(key, F.xxhash64(key, F.col("_o") + F.coalesce("_before", F.lit(0)))).select(df.columns)

@@ -16,27 +16,67 @@ from pyspark.sql import types as T
 _PARTIALS = 256
 
 
-def _columns(batch: pa.RecordBatch, width: int) -> dict[str, np.ndarray]:
-    out = {}
-    for name in batch.schema.names:
-        col = batch.column(name)
-        if pa.types.is_floating(col.type) or pa.types.is_integer(col.type):
-            out[name] = col.to_numpy(zero_copy_only=False)
-        elif pa.types.is_boolean(col.type):
-            out[name] = col.cast(pa.int8()).to_numpy(zero_copy_only=False).astype(float)
+class _Block(dict):
+    """Columns of a batch as arrays, each made when it is first asked for; ``X`` has the features side by side."""
+
+    def __init__(self, batch: pa.RecordBatch, width: int):
+        super().__init__()
+        self.batch, self.width = batch, width
+
+    def __missing__(self, name: str) -> np.ndarray:
+        if name == "X":
+            v = np.stack([self[f"x{j}"] for j in range(self.width)], 1) if self.width else np.zeros((self.batch.num_rows, 0))
         else:
-            out[name] = np.array(col.to_pylist(), dtype=object)
-    out["X"] = np.stack([out[f"x{j}"] for j in range(width)], 1) if width else np.zeros((batch.num_rows, 0))
-    return out
+            col = self.batch.column(name)
+            if pa.types.is_floating(col.type) or pa.types.is_integer(col.type):
+                v = col.to_numpy(zero_copy_only=False)
+            elif pa.types.is_boolean(col.type):
+                v = col.cast(pa.int8()).to_numpy(zero_copy_only=False).astype(float)
+            else:
+                v = np.array(col.to_pylist(), dtype=object)
+        self[name] = v
+        return v
+
+
+def _columns(batch: pa.RecordBatch, width: int, steps: tuple = ()) -> _Block:
+    """The block of a batch, with what ``steps`` add to it or put in place of its columns."""
+    block = _Block(batch, width)
+    for f, names in steps:
+        new = [np.asarray(v, float) for v in f(block)]
+        block.update(zip(names, new, strict=True))
+        if any(n == f"x{j}" for n in names for j in range(width)):
+            block.pop("X", None)
+    return block
 
 
 class SparkRows:
-    def __init__(self, df: DataFrame, width: int):
-        self.df, self.width = df, width
+    """Rows of a frame; derived columns that are not yet kept are computed in the task that uses them, without a worker of their own."""
+
+    def __init__(self, df: DataFrame, width: int, steps: tuple = ()):
+        self._df, self.width, self._steps = df, width, steps
+
+    @property
+    def df(self) -> DataFrame:
+        if self._steps:
+            width, steps = self.width, self._steps
+            names = list(dict.fromkeys(n for _, some in steps for n in some))
+            kept = [c for c in self._df.columns if c not in names]
+
+            def add(batches):
+                for batch in batches:
+                    block = _columns(batch, width, steps) if batch.num_rows else dict.fromkeys(names, np.zeros(0))
+                    batch = batch.select(kept)
+                    for name in names:
+                        batch = batch.append_column(name, pa.array(block[name]))
+                    yield batch
+
+            schema = T.StructType([*(self._df.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)])
+            self._df, self._steps = self._df.mapInArrow(add, schema), ()
+        return self._df
 
     def sum(self, f) -> dict[str, np.ndarray]:
         """The sum of the arrays that ``f`` gives for each block, by name."""
-        width = self.width
+        width, steps, df = self.width, self._steps, self._df
 
         def partial(batches):
             from pyspark import TaskContext
@@ -44,7 +84,7 @@ class SparkRows:
             total: dict[str, np.ndarray] = {}
             for batch in batches:
                 if batch.num_rows:
-                    for k, v in f(_columns(batch, width)).items():
+                    for k, v in f(_columns(batch, width, steps)).items():
                         total[k] = total[k] + v if k in total else np.asarray(v, float)
             if total:
                 part = TaskContext.get().partitionId()
@@ -53,8 +93,8 @@ class SparkRows:
                     ["part", "name", "shape", "values"],
                 )
 
-        sums = self.df.mapInArrow(partial, "part int, name string, shape array<int>, values array<double>")
-        if self.df.rdd.getNumPartitions() > _PARTIALS:
+        sums = df.mapInArrow(partial, "part int, name string, shape array<int>, values array<double>")
+        if df.rdd.getNumPartitions() > _PARTIALS:
             sums = sums.groupBy("name", "shape", F.expr(f"part div {_PARTIALS}").alias("g")).applyInArrow(_added, "part int, name string, shape array<int>, values array<double>")
         out: dict[str, np.ndarray] = {}
         for r in sorted(sums.collect(), key=lambda r: r["part"]):
@@ -64,26 +104,14 @@ class SparkRows:
 
     def append(self, f, names: list[str]) -> SparkRows:
         """With further columns of numbers (in place of any of their names), which ``f`` gives in a list for each block."""
-        width = self.width
-        kept = [c for c in self.df.columns if c not in names]
-
-        def add(batches):
-            for batch in batches:
-                values = f(_columns(batch, width)) if batch.num_rows else [np.zeros(0)] * len(names)
-                batch = batch.select(kept)
-                for name, v in zip(names, values, strict=True):
-                    batch = batch.append_column(name, pa.array(np.asarray(v, float)))
-                yield batch
-
-        schema = T.StructType([*(self.df.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)])
-        return SparkRows(self.df.mapInArrow(add, schema), width)
+        return SparkRows(self._df, self.width, (*self._steps, (f, names)))
 
     def filter(self, condition, _local=None) -> SparkRows:
         return SparkRows(self.df.filter(condition), self.width)
 
     def keep(self) -> SparkRows:
         """The rows are read several times from here on."""
-        self.df = self.df.persist()
+        self._df = self.df.persist()
         return self
 
     def cluster_gram(self, f, width: int) -> tuple[np.ndarray, int]:
