@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from ..functions.special import chi_square_tail, interval
 from ..plans.frame import Spec, as_double, build, column, is_number, levels_of, ranked
 from ..plans.ordinals import local_folds, local_keys
 from ..plans.rows import LocalRows
+from ..plans.storage import stored
 from ..sources.relation import resolve
 from .nuisance import ESTIMATORS, cate, estimate, nuisance
 
@@ -127,6 +132,10 @@ def _local_group(pdf: pd.DataFrame, plan: dict) -> tuple:
     return (plan["estimand"], plan["estimator"], e.estimate, se, low, high, p, n, n1, warnings + e.warnings)
 
 
+#: Large groups whose jobs run side by side.
+_AT_ONCE = 4
+
+
 def do_ate_by(engine, relation, by=None, **given):
     """One average effect for each group of the ``by`` columns; null is a group. A group that has none says why."""
     spec = Spec.of(engine.config, **given)
@@ -164,29 +173,34 @@ def do_ate_by(engine, relation, by=None, **given):
     same = lambda r: [F.col(k).eqNullSafe(F.lit(r[k])) for k in keys]
     small = made
     for r in large:
-        whole = same(r)[0]
-        for x in same(r)[1:]:
-            whole = whole & x
-        small = small.filter(~whole)
+        small = small.filter(~reduce(and_, same(r)))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         head = [pdf[k].iloc[0] for k in keys]
         return pd.DataFrame([(*head, *_local_group(pdf, plan))], columns=[f.split()[0] for f in schema.split(", ")])
 
     out = small.groupBy(*keys).applyInPandas(fit, schema)
-    rows = []
-    for r in large:
-        part = df
-        for k, b in zip(keys, by, strict=True):
-            part = part.filter(F.col(f"`{b}`").cast("string").eqNullSafe(F.lit(r[k])))
+
+    def whole(i: int) -> tuple:
+        r, part = large[i], parts.filter(F.col("_group") == i).drop("_group")
         inner = {k: v for k, v in given.items() if k not in ("covariates", "treated", "control")} | {"covariates": names, "treated": str(high), "control": str(low)}
         if spec.treated is None:
             part = part.withColumn(t, F.col(f"`{t}`").cast("string"))
         try:
             e = effect(engine, part, "ATE", **inner).first()
-            rows.append((*(r[k] for k in keys), *(e[f.split()[0]] for f in GROUP.split(", "))))
+            return (*(r[k] for k in keys), *(e[f.split()[0]] for f in GROUP.split(", ")))
         except CausalError as error:
-            rows.append((*(r[k] for k in keys), "ATE", name, None, None, None, None, None, r["count"], None, [f"not estimated: {error}"]))
+            return (*(r[k] for k in keys), "ATE", name, None, None, None, None, None, r["count"], None, [f"not estimated: {error}"])
+
+    rows = []
+    if large:
+        # Each large group's rows are written once, to files of its own, so that no group reads the others.
+        at = lambda r: reduce(and_, (F.col(f"`{b}`").cast("string").eqNullSafe(F.lit(r[k])) for k, b in zip(keys, by, strict=True)))
+        needed = [x for x in df.columns if x in used or x in names]
+        dealt = df.select(*needed, F.coalesce(*(F.when(at(r), i) for i, r in enumerate(large))).alias("_group")).filter("_group is not null")
+        parts = stored(dealt, "groups", by="_group")
+        with ThreadPoolExecutor(_AT_ONCE) as pool:
+            rows = list(pool.map(whole, range(len(large))))
     if rows:
         out = out.unionByName(engine.table(rows, schema))
     for k, b in zip(keys, by, strict=True):

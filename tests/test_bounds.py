@@ -42,3 +42,24 @@ def test_order_statistics(spark, values):
 def test_fast_counts_are_the_exact_ones():
     key = np.random.default_rng(1).integers(-(2**62), 2**62, 200_000)
     assert (poisson(key, 3, 4) == np.searchsorted(np.cumsum(np.exp(-1) / np.cumprod([1, *range(1, 12)])), uniform(key, 3, 4), side="right")).all()
+
+
+def test_large_groups_read_their_own_rows(spark):
+    """Groups across tasks have the results of the same rows alone, null is a group, and each reads its own files only."""
+    from causalith.config import Config
+    from causalith.engine import Engine
+    from causalith.operators import effects
+
+    rng = np.random.default_rng(4)
+    rows = [(["a", "b", None][i % 3], int(rng.random() < 0.5), float(rng.normal()), float(rng.normal()), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, t int, y double, x double, unused long")
+    engine, seen = Engine(spark, Config(group_rows=100)), []
+    spec, real = {"treatment": "t", "outcome": "y", "covariates": ["x"], "estimator": "aipw"}, effects.effect
+    effects.effect = lambda e, part, *a, **k: seen.append(sum("_group=" in f for f in part.inputFiles())) or real(e, part, *a, **k)
+    try:
+        got = {r["g"]: r for r in engine.do_ate_by(df, by="g", **spec).collect()}
+    finally:
+        effects.effect = real
+    files = {g: engine.do_ate(df.filter(F.col("g").eqNullSafe(F.lit(g))), **spec).first() for g in ("a", "b", None)}
+    assert len(seen) == 3 and all(seen)
+    assert all(got[g].estimate == pytest.approx(r.estimate, abs=1e-9) and got[g].n == 200 for g, r in files.items())
