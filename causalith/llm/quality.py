@@ -6,8 +6,8 @@ Newton's method minimises the logistic loss on the pairs' feature differences. S
 leaves out as large a share of the labelled documents as are labelled bad, and mapped to 0 .. 1 so that this cut
 lies at a given value.
 
-Only the fit is on the driver, on at most ``FIT_ROWS`` labelled documents whose hash is least; features and scores are
-computed where the documents are.
+All labelled documents take part in the bins' edges, the pairs, the cut and the slope. They are seen in sums over rows: the
+driver solves for the weights, features and scores are computed where the documents are.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, slices, table, text_buffer, word_hashes
+from ..plans.frame import ranked
+from .common import materialize, mix64, slices, table, text_buffer, word_hashes
 
-#: The bound of the sample that the weights are fitted on, the pairs drawn from it, and bins per feature.
-FIT_ROWS, PAIRS, BINS = 16_000, 40_000, 10
+#: The least number of pairs, as far as there are so many, and bins per feature.
+PAIRS, BINS = 40_000, 10
+#: Partial sums that come to the driver at once.
+PARTS = 32
 #: The score that documents at the cut get.
 CUT = 0.3
 
@@ -122,56 +125,117 @@ def _design(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(width > 0, np.clip(z, 0, 1), (x[:, :, None] > low).astype(float)).reshape(len(x), -1)
 
 
-def _newton(d: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
-    """Weights that minimise the mean logistic loss of preferences ``d @ w > 0``, plus a ridge."""
-    w = np.zeros(d.shape[1])
+def _total(df: DataFrame, f) -> np.ndarray:
+    """What ``f`` gives for each batch, added up over all rows; at most ``PARTS`` arrays come to the driver."""
+
+    def partial(batches):
+        from pyspark import TaskContext
+
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                total = f(batch) if total is None else total + f(batch)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([list(total.shape)], pa.list_(pa.int32())), pa.array([np.asarray(total, float).ravel()], pa.list_(pa.float64()))], ["part", "shape", "v"])
+
+    got = df.coalesce(PARTS).mapInArrow(partial, "part int, shape array<int>, v array<double>").toArrow().sort_by("part")
+    arrays = [np.asarray(v.values).reshape(s) for v, s in zip(got.column("v"), got.column("shape").to_pylist(), strict=True)]
+    return sum(arrays)
+
+
+def _matrix(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
+    return np.asarray(batch.column(name).flatten()).reshape(batch.num_rows, -1)
+
+
+def _newton(df: DataFrame, f, ridge: float, steps: int = 12) -> np.ndarray:
+    """Weights that minimise the mean logistic loss of preferences ``f(batch) @ w > 0`` over all rows, plus a ridge."""
+    w = None
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -60, 60)))
-        gradient = -(d.T @ p) / len(d) + ridge * w
-        v = p * (1 - p)
-        step = np.linalg.solve((d.T * v) @ d / len(d) + ridge * np.eye(len(w)), gradient)
-        w -= step
+
+        def sums(batch, w=w):
+            d = f(batch)
+            p = 1 / (1 + np.exp(np.clip(d @ (np.zeros(d.shape[1]) if w is None else w), -60, 60)))
+            return np.vstack([(d.T * (p * (1 - p))) @ d, d.T @ p, np.full(d.shape[1], len(d))])
+
+        s = _total(df, sums)
+        n = s[-1, 0]
+        w = np.zeros(s.shape[1]) if w is None else w
+        step = np.linalg.solve(s[:-2] / n + ridge * np.eye(len(w)), -s[-2] / n + ridge * w)
+        w = w - step
         if np.abs(step).max() < 1e-7:
             break
     return w
 
 
-def fit_ranker(x: np.ndarray, y: np.ndarray, seed: int = 42, ridge: float = 1e-3) -> Ranker:
-    """Fit on features and labels 0 or 1. With one label alone every document gets the same side of the cut."""
-    edges = np.quantile(x, np.linspace(0, 1, BINS + 1), axis=0).T if len(x) else np.zeros((x.shape[1], BINS + 1))
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return Ranker(edges, np.zeros(edges.shape[0] * BINS), 1.0, 0.0 if len(good) or not len(bad) else 10.0)
-    rng = np.random.default_rng(seed)
-    z = _design(x, edges)
-    pairs = z[rng.choice(good, PAIRS)] - z[rng.choice(bad, PAIRS)]
-    w = _newton(pairs, ridge)
-    raw = z @ w
+_SIGN = np.uint64(1 << 63)
+
+
+def _places(df: DataFrame, f, places: list[int]) -> np.ndarray:
+    """Values at ``places`` (from 0) of each sorted column of ``f(batch)``, found byte by byte: each pass counts the next byte of all rows."""
+    rest: np.ndarray = np.array(places)[None, :]
+    prefix: np.ndarray | None = None
+    for shift in range(56, -1, -8):
+
+        def counts(batch, shift=shift, prefix=prefix):
+            # Bits of doubles in the order of their values.
+            u = (f(batch) + 0.0).view(np.uint64)
+            u = np.where(u & _SIGN, ~u, u | _SIGN)
+            at = ((u >> np.uint64(shift)) & np.uint64(255)).astype(np.int64) + np.arange(u.shape[1]) * 256
+            mine = [slice(None) if prefix is None else (u >> np.uint64(shift + 8)) == prefix[:, q] for q in range(len(places))]
+            return np.stack([np.bincount(at[m].ravel(), minlength=u.shape[1] * 256).reshape(-1, 256) for m in mine], 1)
+
+        upto = _total(df, counts).cumsum(2)
+        byte = (upto <= rest[:, :, None]).sum(2)
+        before = np.take_along_axis(upto, np.maximum(byte - 1, 0)[:, :, None], 2)[:, :, 0]
+        rest = rest - np.where(byte > 0, before, 0)
+        prefix = byte.astype(np.uint64) if prefix is None else (prefix << np.uint64(8)) | byte.astype(np.uint64)
+    return np.where(prefix & _SIGN, prefix ^ _SIGN, ~prefix).view(np.float64)
+
+
+def _pairs(rows: DataFrame, good: int, bad: int) -> DataFrame:
+    """A good (``g``) and a bad (``b``) document a row: every labelled one takes part, with several partners where there are few."""
+    order = [F.xxhash64("doc_id"), "doc_id", "x"]
+    many, few = ((1, 0) if good >= bad else (0, 1))
+    size, least = max(good, bad), min(good, bad)
+    rounds = min(least, max(1, -(-PAIRS // size)))
+    partner = F.pmod(F.col("i") + F.col("r") * (least // rounds), F.lit(least))
+    left = ranked(rows.filter(F.col("quality") == many).select("doc_id", "x"), order, "i").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    right = ranked(rows.filter(F.col("quality") == few).select("doc_id", "x"), order, "i").select("i", F.col("x").alias("y"))
+    both = left.select("x", partner.alias("i")).join(right, "i")
+    return materialize(both.select(F.col("x" if many else "y").alias("g"), F.col("y" if many else "x").alias("b")), "pairs")
+
+
+def fit_ranker(rows: DataFrame, ridge: float = 1e-3) -> Ranker:
+    """Fit on all ``rows`` (features ``x``, ``quality`` 0 or 1). With one label alone every document gets the same side of the cut."""
+    sizes = {r[0]: r[1] for r in rows.groupBy("quality").count().collect()}
+    good, bad = sizes.get(1, 0), sizes.get(0, 0)
+    if not good or not bad:
+        n = features(np.zeros(0, np.uint8), np.zeros(1, np.int64)).shape[1]
+        return Ranker(np.zeros((n, BINS + 1)), np.zeros(n * BINS), 1.0, 0.0 if good or not bad else 10.0)
+    edges = _places(rows, _matrix, [k * (good + bad - 1) // BINS for k in range(BINS + 1)])
+    w = _newton(_pairs(rows, good, bad), lambda b: _design(_matrix(b, "g"), edges) - _design(_matrix(b, "b"), edges), ridge)
+    raw = lambda b: _design(_matrix(b), edges) @ w
     # Between the two scores that the quantile separates, nearer to the lower: a good document costs more than a bad one.
-    below, above = np.sort(raw)[[len(bad) - 1, len(bad)]]
+    below, above = _places(rows, lambda b: raw(b)[:, None], [bad - 1, bad])[0]
     cut = float(below + (above - below) / 4)
     # The slope of a logistic curve of the labels over the scores.
-    one = _newton(np.where(y == 1, 1, -1)[:, None] * np.stack([raw - cut, np.ones(len(raw))], 1), 1e-6)
+    one = _newton(rows, lambda b: np.where(np.asarray(b.column("quality")) == 1, 1, -1)[:, None] * np.stack([(z := raw(b)) - cut, np.ones(len(z))], 1), 1e-6)
     return Ranker(edges, w, max(float(one[0]), 1e-3), cut)
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``rows`` labelled documents, those with the least hash of their doc_id."""
-    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id``, ``quality`` and features ``x`` of all labelled documents."""
+    known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
 
     def extract(batches):
         for batch in slices(batches, "text"):
             x = features(*text_buffer(batch.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), lists], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "x"])
 
-    # The sample is bounded, so the documents need no shuffle.
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    got = sample.mapInArrow(extract, "doc_id long, quality int, x array<double>").toArrow().sort_by("doc_id")
-    n = features(np.zeros(0, np.uint8), np.zeros(1, np.int64)).shape[1]
-    x = np.asarray(got.column("x").combine_chunks().flatten()).reshape(-1, n) if got.num_rows else np.zeros((0, n))
-    return x, np.asarray(got.column("quality")).astype(int)
+    # Texts are not shuffled: features are computed where the documents are, and meet their labels.
+    got = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(extract, "doc_id long, x array<double>")
+    return materialize(got.join(known, "doc_id").select("doc_id", "quality", "x"), "labelled")
 
 
 def rank_quality(docs: DataFrame, ranker: Ranker) -> DataFrame:
@@ -191,7 +255,7 @@ def held_out(column: str = "doc_id", fold: int = 5):
 
 def train(docs: DataFrame, labels: DataFrame) -> Ranker:
     """A ranker from the labelled documents that are not held out."""
-    return fit_ranker(*labelled_features(docs, labels.filter(~held_out())))
+    return fit_ranker(labelled_features(docs, labels.filter(~held_out())))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
