@@ -16,11 +16,15 @@ from ..functions.draws import poisson
 from ..functions.models import fit_logistic, penalty, predict
 from ..functions.special import interval
 from ..plans.frame import Spec, build, order_statistics
-from ..plans.rows import _columns
+from ..plans.rows import SparkRows, _columns
 from .identification import _spread
 from .nuisance import X
 
 
+#: Rows of a sorted partition, as far as equal durations allow.
+_ROWS = 1_000_000
+
+
 def _stretch(times, arm_weights, event_weights, cause_weights, state):
     """Advance curves over rows sorted by time. ``state`` holds at-risk weights, survival, incidence, areas, and the last time."""
     risk, surv, inc, area_s, area_i, last, horizon = state
@@ -44,9 +48,8 @@ def _stretch(times, arm_weights, event_weights, cause_weights, state):
     return risk - leaving.sum(0), after[-1], inc_after[-1], area_s + (prior * step).sum(0), area_i + (inc_prior * step).sum(0), t[-1], horizon
 
 
-def _curves(df, width: int, weights, arms_reps: int, cause: int, horizon: float):
-    """Areas under survival and incidence up to the horizon, and both curves there, for each column of ``weights``."""
-    ordered = df.orderBy("_y").persist()
+def _curves(ordered, width: int, weights, arms_reps: int, cause: int, horizon: float):
+    """Areas under survival and incidence up to the horizon, and both curves there, for each column of ``weights``; rows are in the order of ``_y``."""
 
     def leaving(batches):
         from pyspark import TaskContext
@@ -97,7 +100,6 @@ def _curves(df, width: int, weights, arms_reps: int, cause: int, horizon: float)
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([first]), pa.array([last]), pa.array([np.stack([s, i, a, b]).ravel()], pa.list_(pa.float64()))], ["part", "first", "last", "v"])
 
     parts = sorted(ordered.mapInArrow(integrate, "part int, first double, last double, v array<double>").collect(), key=lambda r: r["part"])
-    ordered.unpersist()
     surv, inc, area_s, area_i, last = np.ones(arms_reps), np.zeros(arms_reps), np.zeros(arms_reps), np.zeros(arms_reps), 0.0
     for r in parts:
         s, i, a, b = np.array(r["v"]).reshape(4, -1)
@@ -145,6 +147,9 @@ def _survival(engine, relation, duration, event, cause, horizon, given):
     seed, trim = spec.seed, spec.trim
     draw = lambda c, r: np.ones(len(c["_t"])) if r < 0 else poisson(c["_key"], seed, r)
     results = []
+    # One sort for all samples; equal durations share a partition, and the partitions' number grows with the rows.
+    parts = max(engine.spark.sparkContext.defaultParallelism, frame.n // _ROWS)
+    rows = SparkRows(rows.df.repartitionByRange(parts, "_y").sortWithinPartitions("_y"), frame.width).keep()
     for first in range(-1, reps, 50):
         some = list(range(first, min(reps, first + 50)))
         betas = fit_logistic(rows, X, [lambda c, r=r: (draw(c, r), c["_t"]) for r in some], ridge=penalty(frame.n), steps=60, least=0.0)
