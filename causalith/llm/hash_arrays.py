@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 _CODEC = pa.Codec("zstd", compression_level=1)
+#: Single numbers from which on a number is listed whole.
+_SMALL = 4096
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
@@ -83,11 +85,14 @@ def _search(table: np.ndarray, rests: np.ndarray, first: np.ndarray, rest: np.nd
     end = high.copy()
     want = keys << bits
     want = want if rests.dtype == np.uint64 else (want >> np.uint64(32)).astype(np.uint32)
-    while (open_ := np.flatnonzero(low < high)).size:
-        middle = (low[open_] + high[open_]) // 2
+    open_ = np.flatnonzero(low < high)
+    while open_.size:
+        a, z = low[open_], high[open_]
+        middle = (a + z) >> 1
         less = rests[rest[open_] + middle] < want[open_]
-        low[open_[less]] = middle[less] + 1
-        high[open_[~less]] = middle[~less]
+        a, z = np.where(less, middle + 1, a), np.where(less, z, middle)
+        low[open_], high[open_] = a, z
+        open_ = open_[a < z]
     hit = np.flatnonzero(low < end)
     hit = hit[rests[rest[hit] + low[hit]] == want[hit]]
     out = np.full(len(keys), -1, np.int64)
@@ -108,12 +113,24 @@ def coded(values: np.ndarray) -> dict[str, np.ndarray]:
     values = values if values.ndim == 2 else values[:, None]
     if not len(values):
         return {"code": np.zeros(0, np.uint8), "table": np.zeros((0, values.shape[1]), "<i8"), "odd": np.zeros(0, "<i8"), "whole": np.zeros((0, values.shape[1]), "<i8")}
+    if values.shape[1] == 1 and values.min() >= 0:
+        least = np.minimum(values[:, 0], _SMALL)
+        n = np.bincount(least, minlength=_SMALL + 1)[:-1]
+        top = np.argsort(-n, kind="stable")[:255]
+        top = top[n[top] > 0]
+        name = np.full(_SMALL + 1, 255, np.uint8)
+        name[top] = np.arange(len(top))
+        code = name[least]
+        odd = np.flatnonzero(code == 255)
+        return {"code": code, "table": top.astype("<i8")[:, None], "odd": odd.astype("<i8"), "whole": values[odd]}
     mixed = np.zeros(len(values), np.uint64)
     with np.errstate(over="ignore"):
         for c in values.T:
             mixed = (mixed ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
-    _, one, back, n = np.unique(mixed, return_index=True, return_inverse=True, return_counts=True)
+    _, back, n = np.unique(mixed, return_inverse=True, return_counts=True)
+    one = np.empty(len(n), np.int64)
+    one[back] = np.arange(len(back))
     top = np.argsort(-n, kind="stable")[:255]
     table = values[one[top]]
     name = np.full(len(n), 255)
@@ -151,20 +168,26 @@ class Shard:
 
     def __init__(self, path: str):
         size = os.path.getsize(path)
-        self.bytes = np.memmap(path, np.uint8, "r")
+        self.bytes = np.asarray(np.memmap(path, np.uint8, "r"))
         n = int(self.bytes[size - 8 :].view("<i8")[0])
         self.table = json.loads(self.bytes[size - 8 - n : size - 8].tobytes())
         self.words = self.bytes[: size // 4 * 4].view("<u4")
+        self.wide_words = self.bytes[: size // 8 * 8].view("<u8")
+        self.begins: dict[str, np.ndarray] = {}
+        self.bits: dict[str, np.ndarray] = {}
 
     def _begin(self, name: str) -> np.ndarray:
-        return np.array([t[name][0] for t in self.table], np.int64)
+        if name not in self.begins:
+            self.begins[name] = np.array([t[name][0] for t in self.table], np.int64)
+        return self.begins[name]
 
     def find(self, prefix: str, keys: np.ndarray, range_: np.ndarray) -> np.ndarray:
         """The place of each key in its range's array, or -1."""
-        bits = np.array([self.words[t[f"{prefix}bits"][0] // 4] for t in self.table], np.uint64)[range_]
+        if prefix not in self.bits:
+            self.bits[prefix] = self.words[self._begin(f"{prefix}bits") // 4].astype(np.uint64)
         wide = self.table[0][f"{prefix}rest"][1] == "uint64"
         first, rest = self._begin(f"{prefix}first")[range_] // 4, self._begin(f"{prefix}rest")[range_] // (8 if wide else 4)
-        return _search(self.words, self.bytes[: len(self.bytes) // 8 * 8].view("<u8") if wide else self.words, first, rest, bits, keys)
+        return _search(self.words, self.wide_words if wide else self.words, first, rest, self.bits[prefix][range_], keys)
 
     def values(self, prefix: str, place: np.ndarray, range_: np.ndarray) -> np.ndarray:
         """Rows of values at places; zeros where the place is -1."""

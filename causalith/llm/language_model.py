@@ -85,14 +85,36 @@ def _dealt(kind: str, range_: np.ndarray, columns: list[np.ndarray]) -> list[tup
     return out
 
 
+def _order(keys: list[np.ndarray]):
+    """What puts rows of keys in ascending order: keys that fit 64 bits side by side are one number, others first get ranks."""
+    width = [int(k.max()).bit_length() for k in keys]
+    if sum(width) > 64 and len(keys) > 1:
+        order, lead = _order(keys[:-1]), keys[:-1]
+        new = np.zeros(len(lead[0]), np.int64)
+        for k in lead:
+            k = k[order]
+            new[1:] |= k[1:] != k[:-1]
+        rank = np.empty_like(new)
+        rank[order] = np.cumsum(new)
+        keys, width = [rank, keys[-1]], [int(new.sum()).bit_length(), width[-1]]
+        if sum(width) > 64:
+            return np.lexsort(keys[::-1])
+    one = keys[0].astype(np.uint64)
+    for k, w in zip(keys[1:], width[1:], strict=True):
+        one = (one << np.uint64(w)) | k.astype(np.uint64)
+    return slice(None) if (one[1:] >= one[:-1]).all() else np.argsort(one)
+
+
 def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct rows of keys in ascending order, and the sums of their values."""
     if not len(keys[0]):
         return keys, values
-    order = np.lexsort(keys[::-1])
+    order = _order(keys)
     keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = keys[0][1:] != keys[0][:-1]
+    for k in keys[1:]:
+        new[1:] |= k[1:] != k[:-1]
     first = np.flatnonzero(new)
     return [k[first] for k in keys], [np.add.reduceat(v[order], first) for v in values]
 
@@ -134,20 +156,29 @@ class Arrays:
         return self.__dict__ | {"open": {}}
 
     def _each(self, range_: np.ndarray):
-        for s in np.unique(range_ % SHARDS).tolist():
+        """Each file with the rows of its ranges and their ranges there; rows are dealt to the files in one pass."""
+        shard = (range_ % SHARDS).astype(np.uint8)
+        order = np.argsort(shard, kind="stable")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=SHARDS))]).tolist()
+        inside = (range_ // SHARDS)[order]
+        for s, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
+            if a == z:
+                continue
             if s not in self.open:
                 self.open[s] = Shard(f"{self.folder}/{self.kind}.{s}")
-            at = np.flatnonzero(range_ % SHARDS == s)
-            yield self.open[s], at, range_[at] // SHARDS
+            yield self.open[s], order[a:z], inside[a:z]
 
-    def find(self, prefix: str, keys: np.ndarray, range_: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), -1, np.int64)
+    def find(self, prefix: str, keys: np.ndarray, range_: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key in its range's array, or -1, and its row of values, zeros where there is none."""
+        place, out = np.empty(len(keys), np.int64), np.empty((len(keys), width), np.int64)
         for shard, at, r in self._each(range_):
-            out[at] = shard.find(prefix, keys[at], r)
-        return out
+            found = shard.find(prefix, keys[at], r)
+            place[at] = found
+            out[at] = shard.values(prefix, found, r)
+        return place, out
 
     def values(self, prefix: str, place: np.ndarray, range_: np.ndarray, width: int) -> np.ndarray:
-        out = np.zeros((len(place), width), np.int64)
+        out = np.empty((len(place), width), np.int64)
         for shard, at, r in self._each(range_):
             out[at] = shard.values(prefix, place[at], r)
         return out
@@ -182,8 +213,8 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number and count of each word, -1 and 0 where it is unknown."""
         r = _range(hashes, self.ranges)
-        place = self.arrays.find("w", hashes, r)
-        return np.where(place >= 0, self.base[r] + place, -1), self.arrays.values("w", place, r, 1)[:, 0]
+        place, count = self.arrays.find("w", hashes, r, 1)
+        return np.where(place >= 0, self.base[r] + place, -1), count[:, 0]
 
     def at(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Range and place of words with these numbers."""
@@ -266,13 +297,13 @@ class Model:
         key[some] = pair_key(number[a[some]], number[b[some]])
         found = np.zeros((len(pair), 5), np.int64)
         r = _range(key[some], self.ranges)
-        place = self.triples.find("c", key[some], r)
-        found[some, 1:] = self.triples.values("c", place, r, 4)
+        place, found[some, 1:] = self.triples.find("c", key[some], r, 4)
         found[some, 0] = self.pairs.values("a", place, r, 1)[:, 0]
         rest = some[place < 0]
         r = _range(key[rest], self.ranges)
-        found[rest] = self.pairs.values("x", self.pairs.find("x", key[rest], r), r, 5)
-        p2 = _interpolated(found[pair_back[:-1], 0], single[one, 1:], self.d2, p1)
+        found[rest] = self.pairs.find("x", key[rest], r, 5)[1]
+        total, left = _left(single[:, 1:], self.d2)
+        p2 = _interpolated(found[pair_back[:-1], 0], total[one], left[one], self.d2, p1)
         context = np.full(len(words), pair_back[-1])
         later = np.ones(len(words), bool)
         later[bounds[:-1]] = False
@@ -284,8 +315,9 @@ class Model:
         k = triple_key(key[c], number[x])
         r = _range(np.where(frequent[a[c]] & frequent[b[c]], k, key[c]), self.ranges)
         count = np.zeros(len(triple), np.int64)
-        count[seen] = self.triples.values("t", self.triples.find("t", k, r), r, 1)[:, 0]
-        p3 = _interpolated(count[triple_back], found[context, 1:], self.d3, p2)
+        count[seen] = self.triples.find("t", k, r, 1)[1][:, 0]
+        total, left = _left(found[:, 1:], self.d3)
+        p3 = _interpolated(count[triple_back], total[context], left[context], self.d3, p2)
         return counts[back], np.log10(p3)
 
 
@@ -299,12 +331,27 @@ def _shifted(index: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, np.where(first | second, -7, two)
 
 
-def _interpolated(count: np.ndarray, context: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
+def _left(contexts: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each context's total, and the share that the discounts leave for the lower order."""
+    total = contexts[:, 0]
+    return total, contexts[:, 1:] @ d[1:] / np.maximum(total, 1)
+
+
+def _interpolated(count: np.ndarray, total: np.ndarray, left: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Discounted relative frequency in the context plus what the discounts leave for the lower order; that alone without the context."""
-    total = context[:, 0]
-    safe = np.maximum(total, 1)
-    left = context[:, 1:] @ d[1:] / safe
-    return np.where(total > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / safe + left * lower, lower)
+    return np.where(total > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / np.maximum(total, 1) + left * lower, lower)
+
+
+def _named(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct numbers of a run's trigrams, and each column's places among them; a and b mostly are c moved on."""
+    n, moved = len(c), lambda x, head: np.append(head, x[:-1])
+    one = moved(c, START)
+    odd_b, odd_a = np.flatnonzero(one != b), np.flatnonzero(moved(one, START) != a)
+    own, code = np.unique(np.concatenate([c, b[odd_b], a[odd_a], [START]]), return_inverse=True)
+    one = moved(code[:n], code[-1])
+    two = moved(one, code[-1])
+    one[odd_b], two[odd_a] = code[n : n + len(odd_b)], code[n + len(odd_b) : -1]
+    return own, [two, one, code[:n]]
 
 
 def fit(docs: DataFrame, hot: int = HOT) -> Model:
@@ -323,8 +370,8 @@ def fit(docs: DataFrame, hot: int = HOT) -> Model:
             a, b, c, n = (np.concatenate([x[i] for x in held]) for i in range(4))
             held.clear()
             # Numbers of this run's words take 21 bits, so a trigram is one number.
-            own = np.unique(np.concatenate([a, b, c]))
-            code = [np.searchsorted(own, x).astype(np.uint64) for x in (a, b, c)]
+            own, code = _named(a, b, c)
+            code = [x.astype(np.uint64) for x in code]
             packed_, n_ = np.unique((code[0] << np.uint64(42)) | (code[1] << np.uint64(21)) | code[2], return_counts=True)
             mask = np.uint64((1 << 21) - 1)
             a_, b_, c_ = (own[((packed_ >> np.uint64(s)) & mask).astype(np.int64)] for s in (42, 21, 0))
