@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import CausalError
 from ..functions.models import classical, fit_logistic, fit_ridge, penalty, predict, sandwich
 from ..functions.special import Z95
-from ..plans.frame import Spec, build, order_statistics, ranked
-from ..plans.rows import SparkRows
+from ..plans.frame import Spec, build, grouped_order_statistics, ranked
 from .effects import effects_of_rows, numbered
 from .nuisance import X, mean_of, nuisance, pseudo
 
@@ -124,36 +123,70 @@ def do_optimal_policy(engine, relation, depth: int = 2, threshold: float = 0.0,
         f = frame.features[j]
         return f"{v * f.scale + f.center:.4g}"
 
-    def grow(part: SparkRows, rules: list[str], left: int):
-        s = part.sum(lambda c: {"s": np.array([len(c["_psi"]), c["_psi"].sum(), (c["_psi"] ** 2).sum()])})["s"]
-        n, net = int(s[0]), s[1] - cost * s[0]
-        best = None
-        if left and n >= _NODE and frame.width:
-            places = [min(n - 1, n * b // 10) for b in range(1, 10)]
-            cuts = {j: sorted(set(order_statistics(part.df, F.col(f"x{j}"), places))) for j in range(frame.width)}
-
-            def sums(c):
-                return {f"{j}": np.array([[(m := c["X"][:, j] <= v).sum(), c["_psi"][m].sum()] for v in vs]) for j, vs in cuts.items()}
-
-            for j, found in part.sum(sums).items():
-                for v, (k, psi) in zip(cuts[int(j)], found, strict=True):
-                    if k < _LEAF or n - k < _LEAF:
-                        continue
-                    low, high = psi - cost * k, (s[1] - psi) - cost * (n - k)
-                    gain = max(low, 0) + max(high, 0) - max(net, 0)
-                    if gain > 1e-9 and (best is None or gain > best[0]):
-                        best = (gain, int(j), v)
-        if best is None:
-            mean = s[1] / n
+    def inside(c, path) -> np.ndarray:
+        m = np.ones(len(c["_psi"]), bool)
+        for j, v, low in path:
+            m &= (c["X"][:, j] <= v) == low
+        return m
+
+    def rule(j: int, v: float, low: bool) -> str:
+        return f"{frame.features[j].name} {'<=' if low else '>'} {raw(j, v)}"
+
+    def cuts_of(nodes: dict[int, tuple[list, int]]) -> dict[int, list[float]]:
+        """The deciles of each feature in each node, by node times width plus feature: one sort for all."""
+        node = F.lit(None).cast("long")
+        for i, (path, _) in nodes.items():
+            here = F.lit(True)
+            for j, v, low in path:
+                here = here & ((F.col(f"x{j}") <= v) if low else (F.col(f"x{j}") > v))
+            node = F.when(here, i).otherwise(node)
+        values = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"x{j}").alias("v")) for j in range(frame.width)))
+        stacked = rows.df.select(node.alias("node"), F.inline(values)).filter("node is not null").select((F.col("node") * frame.width + F.col("j")).alias("k"), "v")
+        places = {i * frame.width + j: [min(n - 1, n * b // 10) for b in range(1, 10)] for i, (_, n) in nodes.items() for j in range(frame.width)}
+        return {k: sorted(set(found)) for k, found in grouped_order_statistics(stacked, places).items()}
+
+    # All nodes of a depth share the passes over the rows.
+    level, left = [[]], min(3, max(0, int(depth)))
+    while level:
+        def totals(c, level=level):
+            return {str(i): np.array([len(psi := c["_psi"][inside(c, path)]), psi.sum(), (psi**2).sum()]) for i, path in enumerate(level)}
+
+        stats = rows.sum(totals)
+        nodes = {i: (path, int(stats[str(i)][0])) for i, path in enumerate(level) if left and stats[str(i)][0] >= _NODE and frame.width}
+        best: dict[int, tuple] = {}
+        if nodes:
+            cuts = cuts_of(nodes)
+
+            def sums(c, nodes=nodes, cuts=cuts):
+                out = {}
+                for i, (path, _) in nodes.items():
+                    m = inside(c, path)
+                    x, psi = c["X"][m], c["_psi"][m]
+                    for j in range(x.shape[1]):
+                        out[f"{i * x.shape[1] + j}"] = np.array([[(low := x[:, j] <= v).sum(), psi[low].sum()] for v in cuts[i * x.shape[1] + j]])
+                return out
+
+            found = rows.sum(sums)
+            for i, (_, n) in nodes.items():
+                total = stats[str(i)][1]
+                for j in range(frame.width):
+                    for v, (k, psi) in zip(cuts[i * frame.width + j], found[f"{i * frame.width + j}"], strict=True):
+                        if k < _LEAF or n - k < _LEAF:
+                            continue
+                        low, high = psi - cost * k, (total - psi) - cost * (n - k)
+                        gain = max(low, 0) + max(high, 0) - max(total - cost * n, 0)
+                        if gain > 1e-9 and (i not in best or gain > best[i][0]):
+                            best[i] = (gain, j, v)
+        deeper = []
+        for i, path in enumerate(level):
+            if i in best:
+                deeper += [[*path, (*best[i][1:], low)] for low in (True, False)]
+                continue
+            s = stats[str(i)]
+            n, mean = int(s[0]), s[1] / s[0]
             se = np.sqrt(max(s[2] / n - mean**2, 0) / max(1, n - 1))
             treat = mean > cost
-            leaves.append((" and ".join(rules) or "everyone", n, float(mean), float(se), cost, "treat" if treat else "do not treat", float(n * (mean - cost)) if treat else 0.0))
-            return
-        _, j, v = best
-        name = frame.features[j].name
-        grow(part.filter(F.col(f"x{j}") <= v), [*rules, f"{name} <= {raw(j, v)}"], left - 1)
-        grow(part.filter(F.col(f"x{j}") > v), [*rules, f"{name} > {raw(j, v)}"], left - 1)
-
-    grow(rows, [], min(3, max(0, int(depth))))
+            leaves.append((" and ".join(rule(*r) for r in path) or "everyone", n, float(mean), float(se), cost, "treat" if treat else "do not treat", float(n * (mean - cost)) if treat else 0.0))
+        level, left = deeper, left - 1
     out = [(i + 1, *leaf) for i, leaf in enumerate(sorted(leaves))]
     return engine.table(out, "leaf long, rule string, n long, mean_effect double, std_error double, cost double, action string, expected_gain double")

@@ -125,22 +125,30 @@ def as_double(df: DataFrame, name: str):
 
 
 def order_statistics(df: DataFrame, value, places: list[int]) -> list[float]:
-    """Values at places (from 0) of the sorted non-null values: a distributed sort of the distinct ones with their counts, then one row for each place."""
+    """Values at places (from 0) of the sorted non-null values."""
+    return grouped_order_statistics(df.select(F.lit(0).alias("k"), value.alias("v")), {0: places})[0]
+
+
+def grouped_order_statistics(df: DataFrame, places: dict[int, list[int]]) -> dict[int, list[float]]:
+    """Values at places (from 0) of the sorted non-null ``v`` of each ``k``: one distributed sort of the distinct ones with their counts, then one row for each place."""
     from ..plans.storage import stored
 
-    counts = df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    ordered = stored(counts.orderBy("v").select("v", "n", F.spark_partition_id().alias("p")), "ordered")
-    before, inside = 0, {}
-    for p, n in sorted((r[0], r[1]) for r in ordered.groupBy("p").agg(F.sum("n")).collect()):
-        inside |= {k: (p, k - before) for k in places if before <= k < before + n}
-        before += n
+    counts = df.filter("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    ordered = stored(counts.orderBy("k", "v").select("k", "v", "n", F.spark_partition_id().alias("p")), "ordered")
+    before, inside = dict.fromkeys(places, 0), {}
+    for k, p, n in sorted((r["k"], r["p"], r["n"]) for r in ordered.groupBy("k", "p").agg(F.sum("n").alias("n")).collect()):
+        if k in places:
+            inside |= {(k, at): (p, at - before[k]) for at in places[k] if before[k] <= at < before[k] + n}
+            before[k] += n
     # Only stretches that hold a place are gone through, each value by value.
-    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    run = ordered.filter(F.col("p").isin(sorted({p for p, _ in inside.values()}))).select("p", "v", "n", upto.alias("upto"))
-    wanted = [(F.col("p") == p) & (F.col("upto") - F.col("n") <= k) & (F.col("upto") > k) for p, k in sorted(set(inside.values()))]
-    found = [(r["p"], r["upto"] - r["n"], r["upto"], r["v"]) for r in run.filter(reduce(or_, wanted)).collect()] if wanted else []
-    at = lambda p, k: next(v for q, low, high, v in found if q == p and low <= k < high)
-    return [at(*inside[k]) for k in places]
+    upto = F.sum("n").over(Window.partitionBy("k", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    run = ordered.filter(F.col("p").isin(sorted({p for p, _ in inside.values()}))).select("k", "p", "v", "n", upto.alias("upto"))
+    wanted = [(F.col("k") == k) & (F.col("p") == p) & (F.col("upto") - F.col("n") <= at) & (F.col("upto") > at) for k, p, at in sorted({(k, p, at) for (k, _), (p, at) in inside.items()})]
+    found: dict[tuple, list] = {}
+    for r in run.filter(reduce(or_, wanted)).collect() if wanted else []:
+        found.setdefault((r["k"], r["p"]), []).append((r["upto"] - r["n"], r["upto"], r["v"]))
+    at_ = lambda k, p, at: next(v for low, high, v in found[k, p] if low <= at < high)
+    return {k: [at_(k, *inside[k, at]) for at in some] for k, some in places.items()}
 
 
 def levels_of(df: DataFrame, name: str, most: int) -> list:
