@@ -79,3 +79,44 @@ def test_runs_need_the_suffix_array(spark, monkeypatch):
     assert [len(x[0]) > 0 for x in html_text.repeated_starts([html_text._stream(["a b c d e f"]), html_text._stream(["x", "a b c d e f"])], [0, 0])] == [True, True]
     monkeypatch.setattr(html_text, "longest_repeats", lambda text, owner: [0] * len(text))
     assert all(len(x[0]) == 0 for x in html_text.repeated_starts([["a"] * 9, ["a"] * 9], [0, 0]))
+
+
+def articles(n, copies=0):
+    """Articles of a host with a notice in most and a licence line in some, then copies of the first with the notice alone around them."""
+    rng = np.random.default_rng(3)
+    prose = lambda: " ".join(f"w{x}" for x in rng.integers(0, 100_000, 30))
+    own = [[prose(), prose()] for _ in range(n)]
+    notice, licence = "sign up here for all of our weekly letters", "some rights are reserved under licence four of that kind"
+    parts = [[a, notice, b] if i % 4 else [a, licence, b] for i, (a, b) in enumerate(own)]
+    want = [own[i] if i % 4 else parts[i] for i in range(n)]
+    parts, want = parts + [parts[0]] * copies, want + [want[0]] * copies
+    return [(i, f"http://h/{i}", "<article>" + "".join(f"<p>{t}</p>" for t in p) + "</article>") for i, p in enumerate(parts)], {i: "\n".join(w) for i, w in enumerate(want)}
+
+
+@pytest.mark.parametrize("pages", [400, 3])
+def test_runs_of_most_articles(spark, monkeypatch, pages):
+    monkeypatch.setattr(html_text, "GROUP_PAGES", pages)
+    rows, want = articles(24, copies=30)
+    few = [(100 + i, f"http://few/{i}", h) for i, _, h in rows[:8]]  # eight articles of a host show nothing
+    same = [(200 + i, f"http://same/{i}", f"<article><p>w{i}</p><p>{' '.join('abcdefghijklmnopqrst')}</p></article>") for i in range(15)]  # near copies
+    df = spark.createDataFrame(rows + few + same, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in main_text(df).collect()}
+    assert {i: t for i, t in got.items() if i < 100} == want
+    assert all("letters" in got[100 + i] for i in range(8) if i % 4)
+    assert all(got[200 + i] == f"w{i}\n{' '.join('abcdefghijklmnopqrst')}" for i in range(15))
+
+
+def test_common_runs_are_counted_by_the_suffix_array(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        streams = [" ".join(rng.choice(list("abc"), int(rng.integers(0, 25)))) + " e" for _ in range(int(rng.integers(1, 7)))]
+        held = {}
+        for t in streams:
+            words = t.split()
+            for run in {tuple(words[i : i + 5]) for i in range(len(words) - 4)}:
+                held[run] = held.get(run, 0) + 1
+        runs, counts = html_text.common_runs(streams)
+        want = {int(html_text._windows([" ".join(r)])[3][0]): k for r, k in held.items() if 2 * k > len(streams)}
+        assert dict(zip(runs.tolist(), counts.tolist(), strict=True)) == want
+    monkeypatch.setattr(html_text, "owners_of_runs", lambda text, owner, length: [0] * len(text))
+    assert not len(html_text.common_runs(["a b c d e f"] * 4)[0])
