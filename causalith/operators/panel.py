@@ -87,10 +87,11 @@ def _cells(rows: SparkRows, seed: int, reps: int, width: int) -> dict[tuple, np.
 
         def each(c, f):
             cell = c["g"].astype(np.int64) * 100_000 + c["t"].astype(np.int64)
+            columns = {n: c[n] for n in ("_t", "_y", "_key", "X")}  # a block makes a column when it is asked for
             found = {}
             for k in np.unique(cell):
                 at = cell == k
-                found[str(k)] = f({n: v[at] for n, v in c.items()}, str(k))
+                found[str(k)] = f({n: v[at] for n, v in columns.items()}, str(k))
             return found
 
         if not width:
