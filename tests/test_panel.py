@@ -42,3 +42,13 @@ def test_did_by_brute_force(spark):
     r = Engine(spark).do_did(df.repartition(3), covariates=[], **GIVEN).first()
     assert r["estimator"] == "did" and r["estimate"] == pytest.approx(effects(rows, lambda g, t: t >= g)[True][0])
     assert r["std_error"] > 0 and r["n_units"] == 240 and r["n_cohorts"] == 2 and r["warnings"]
+
+
+def test_covariates_account_for_the_trend(spark):
+    df, rows = panel(spark)
+    plain = Engine(spark).do_did(df, covariates=[], **GIVEN).first()["estimate"]
+    r = Engine(spark).do_did(df.repartition(3), covariates=["x"], **GIVEN).first()
+    later = [t > g for (g, t), units in cells(rows).items() if t >= g for on, _ in units if on]
+    true = 2 + np.mean(later)
+    assert r["estimator"] == "did-dr" and abs(r["estimate"] - true) < 0.05 < 0.5 < abs(plain - true)
+    assert 0 < r["std_error"] < 0.2 and abs(r["pre_trend"]) < 0.05 and r["warnings"] == []
