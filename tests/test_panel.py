@@ -52,3 +52,13 @@ def test_covariates_account_for_the_trend(spark):
     true = 2 + np.mean(later)
     assert r["estimator"] == "did-dr" and abs(r["estimate"] - true) < 0.05 < 0.5 < abs(plain - true)
     assert 0 < r["std_error"] < 0.2 and abs(r["pre_trend"]) < 0.05 and r["warnings"] == []
+
+
+def test_event_study_by_brute_force(spark):
+    df, rows = panel(spark)
+    want = effects(rows, lambda g, t: t - g)
+    got = Engine(spark).do_event_study(df.repartition(3), covariates=[], **GIVEN).collect()
+    assert [r["relative_period"] for r in got] == sorted(want) and not any(r["relative_period"] == -1 for r in got)
+    assert all((r["att"], r["n_treated"]) == pytest.approx(want[r["relative_period"]]) and r["is_pre_treatment"] == (r["relative_period"] < 0) for r in got)
+    planted = {r["relative_period"]: r["att"] for r in Engine(spark).do_event_study(df, covariates=["x"], **GIVEN).collect()}
+    assert planted == pytest.approx({k: 0 if k < 0 else 2 + (k > 0) for k in want}, abs=0.05)
