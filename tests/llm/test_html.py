@@ -1,7 +1,9 @@
 """Text that pages of odd markup hold: nothing of the article is lost, nothing else comes in."""
 
+import numpy as np
 import pytest
 
+from causalith.llm import html_text
 from causalith.llm.html_text import _text, blocks, main_text
 
 AROUND = "<article><p>one two</p>{}<p>three four</p></article>"
@@ -72,3 +74,18 @@ def test_a_block_keeps_its_own_runs(spark):
     rows = [(i, f"http://h/{i}", f"<div>{notice} {o}</div><p>{i} is the number</p>") for i, o in enumerate(own)]
     got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"{o}\n{i} is the number" for i, o in enumerate(own)}
+
+
+@pytest.mark.parametrize("pages", [400, 2])
+def test_a_run_of_three_pages_whatever_their_groups(spark, monkeypatch, pages):
+    monkeypatch.setattr(html_text, "GROUP_PAGES", pages)  # of some notices two pages meet in one group, and the third is in another
+    rng = np.random.default_rng(5)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 100_000, 30)) for _ in range(24)]
+    notes = {i: [] for i in range(24)}
+    for k in range(24):
+        for i in rng.choice(24, 3, replace=False):
+            notes[int(i)].append("<div>" + " ".join(f"n{k}x{j}" for j in range(8)) + "</div>")
+    rows = [(i, f"http://h/{i}", f"<p>{t}</p>{''.join(notes[i])}") for i, t in enumerate(own)]
+    rows += [(50 + i, f"http://h/{50 + i}", f"<nav>other menu {i} of this page only</nav><p>{own[i]}</p>{''.join(notes[i])}") for i in range(4)]  # one text, other menus
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(own)) | {50 + i: own[i] for i in range(4)}
