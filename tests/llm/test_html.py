@@ -89,3 +89,9 @@ def test_a_run_of_three_pages_whatever_their_groups(spark, monkeypatch, pages):
     rows += [(50 + i, f"http://h/{50 + i}", f"<nav>other menu {i} of this page only</nav><p>{own[i]}</p>{''.join(notes[i])}") for i in range(4)]  # one text, other menus
     got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == dict(enumerate(own)) | {50 + i: own[i] for i in range(4)}
+
+
+def test_a_group_of_few_words():
+    """A lone page may have fewer tokens than a run."""
+    for tokens in ([], ["a"], ["a", "b"]):
+        assert [len(x) for x in html_text.repeated_starts([tokens], [0])[0]] == [0, 0, 0, 0]
